@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, mixing, secrets, url_filter
+from . import decontaminate, language, line_dedup, mixing, near_duplicates, quality, secrets, toxicity, url_filter
 from .common import table
 
 
@@ -16,6 +16,22 @@ def op2_mix_sources(spark, sf_dir):
     return mixing.digest(mixing.mix(table(spark, sf_dir, "documents")))
 
 
+def op3_ngram_jaccard(spark, sf_dir):
+    return near_duplicates.link(table(spark, sf_dir, "documents"), size=4, percent=85)
+
+
+def op4_quality(spark, sf_dir):
+    return quality.digest(quality.judge(table(spark, sf_dir, "documents")))
+
+
+def op5_toxicity(spark, sf_dir):
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_language(spark, sf_dir):
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 def op7_url_filter(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
     return url_filter.judge_urls(pages, url_filter.listed_pages(pages))
@@ -31,5 +47,5 @@ def op10_line_dedup(spark, sf_dir):
     return line_dedup.digest(line_dedup.drop_lines(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_mix_sources, op7_url_filter, op9_secrets, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_mix_sources, op3_ngram_jaccard, op4_quality, op5_toxicity, op6_language, op7_url_filter, op9_secrets, op10_line_dedup)}
 ORACLE = {"op1_decontaminate": decontaminate.SQL, "op2_mix_sources": mixing.SQL, "op7_url_filter": url_filter.SQL, "op9_secrets": secrets.SQL, "op10_line_dedup": line_dedup.SQL}
