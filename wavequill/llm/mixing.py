@@ -16,7 +16,7 @@ BLOCK, SLOTS = 4096, 65536
 #: Fixed value: the golden ratio less 1; multiples of it modulo 1 are the schedule's points.
 GOLDEN = 0.6180339887498949
 #: Slots in a chunk and documents in a bucket, about: ranks are counted in these and carried over between them.
-CHUNK, BUCKET = 4096, 2048
+CHUNK, BUCKET = 512, 2048
 #: Cells of [0, 1) that points and sources are joined by.
 CELLS = 4096
 
