@@ -44,12 +44,12 @@ def sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[np.ndarra
     return windows, np.array([languages.index(lang) for _, lang, _ in rows]), languages
 
 
-def predict(docs: DataFrame, model: dict | None, languages: list[str]) -> DataFrame:
-    """docs (doc_id, text, and others that are passed on) with lang_pred and score.
+def predict(docs: DataFrame, model: dict | None, languages: list[str], text: str = "text", keep_text: bool = False) -> DataFrame:
+    """docs' columns (that of the text only if kept) with lang_pred and score.
 
     und with score 0 for texts that are null or have no letter, and for all if nothing could be learned.
     """
-    passed = [f for f in docs.schema.fields if f.name != "text"]
+    passed = [f for f in docs.schema.fields if f.name != text or keep_text]
     schema = T.StructType([*passed, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     names = [f.name for f in passed]
 
@@ -57,7 +57,7 @@ def predict(docs: DataFrame, model: dict | None, languages: list[str]) -> DataFr
         import pyarrow as pa
 
         for batch in batches:
-            texts = batch.column("text").to_pylist()
+            texts = batch.column(text).to_pylist()
             raw = [t.encode("utf-8", "replace") if t and any(map(str.isalpha, t)) else b"" for t in texts]
             said, score, size = [], [], 0
             begin = 0
@@ -92,6 +92,6 @@ def accepted(docs: DataFrame, least_score: float = LEAST_SCORE) -> DataFrame:
     """The rows of docs, all columns, whose text has a language of which the network is sure enough."""
     windows, classes, languages = sample(docs)
     model = gru.train(windows, classes, len(languages)) if languages else None
-    keep = docs.columns
-    judged = predict(docs.select(*[F.col(c).alias(f"in_{c}") for c in keep if c != "text"], "text", F.col("text").alias("in_text")), model, languages)
-    return judged.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score)).select(*[F.col(f"in_{c}").alias(c) for c in keep])
+    renamed = docs.select(*[F.col(c).alias(f"in_{c}") for c in docs.columns])
+    judged = predict(renamed, model, languages, "in_text", keep_text=True)
+    return judged.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score)).select(*[F.col(f"in_{c}").alias(c) for c in docs.columns])

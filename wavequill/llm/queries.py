@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, line_dedup, mixing, near_duplicates, quality, secrets, toxicity, url_filter
+from . import chat, decontaminate, language, line_dedup, mixing, near_duplicates, quality, secrets, toxicity, url_filter
 from .common import table
 
 
@@ -37,6 +37,10 @@ def op7_url_filter(spark, sf_dir):
     return url_filter.judge_urls(pages, url_filter.listed_pages(pages))
 
 
+def op8_tool_calls(spark, sf_dir):
+    return chat.digest(chat.format_chat(chat.from_turns(table(spark, sf_dir, "conversations")), chat.SCHEMAS))
+
+
 def op9_secrets(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     paths, _ = secrets.scan(docs.select(F.col("doc_id").alias("path"), F.lit(1).alias("version"), "text"))
@@ -47,5 +51,5 @@ def op10_line_dedup(spark, sf_dir):
     return line_dedup.digest(line_dedup.drop_lines(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_mix_sources, op3_ngram_jaccard, op4_quality, op5_toxicity, op6_language, op7_url_filter, op9_secrets, op10_line_dedup)}
-ORACLE = {"op1_decontaminate": decontaminate.SQL, "op2_mix_sources": mixing.SQL, "op7_url_filter": url_filter.SQL, "op9_secrets": secrets.SQL, "op10_line_dedup": line_dedup.SQL}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_mix_sources, op3_ngram_jaccard, op4_quality, op5_toxicity, op6_language, op7_url_filter, op8_tool_calls, op9_secrets, op10_line_dedup)}
+ORACLE = {"op1_decontaminate": decontaminate.SQL, "op2_mix_sources": mixing.SQL, "op7_url_filter": url_filter.SQL, "op8_tool_calls": chat.SQL, "op9_secrets": secrets.SQL, "op10_line_dedup": line_dedup.SQL}
