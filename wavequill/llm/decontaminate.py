@@ -10,6 +10,8 @@ from pyspark.sql.window import Window
 
 from .common import BROADCAST_ROWS, DELIMITER, all_of, ascii_lower, same, small, split_words, stage, text_of
 
+#: DELIMITER before A-Z are lowered: words are counted without that.
+EITHER_CASE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Words in the shingles that stand for a window in the join.
 SHINGLE = 3
 
@@ -100,7 +102,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, ngram: int = 10, bound:
     covered = places.select(*key, "start", "size").distinct().withColumn("fresh", fresh).groupBy(*key).agg(F.sum("fresh").alias("n_hit"))
     named = places.select(*key, "wid").distinct().join(small(items), "wid").groupBy(*key).agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
     hit = covered.join(named, same(covered, named, key)).select(covered["doc_id"], covered["th"], "n_hit", "items")
-    all_docs = docs.select("doc_id", F.xxhash64("text").alias("th"), F.regexp_count(text_of(), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")).cast("long").alias("n_words"))
+    all_docs = docs.select("doc_id", F.xxhash64("text").alias("th"), F.size(split_words(text_of(), EITHER_CASE)).cast("long").alias("n_words"))
     none = F.array().cast("array<string>")
     out = all_docs.join(hit, all_of([all_docs[c].eqNullSafe(hit[c]) for c in key]), "left")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
