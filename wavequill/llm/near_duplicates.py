@@ -2,7 +2,8 @@
 
 Copies of a set of shingles become one class. Classes that agree in a chunk meet by its key. Each key's classes are compared
 with the least of them first, so that a large group of near copies costs a comparison a member and not a pair; links found
-are made into components, and only pairs of a key that are then still in different components are compared as well.
+are made into components, and only classes of a key that are then still in different components are compared further:
+by their sketches, block against block of at most about MEMBERS, and exactly where these allow it.
 
 Shingles that very many documents have, of passages that they share, stay out of the keys: unlike documents would meet by
 them. Which are left out has no effect on the result, only on its cost.
@@ -17,12 +18,14 @@ from pyspark.sql.window import Window
 
 from .common import small, stage
 from .components import components
-from .shingles import Bands, Hot, keys, shingle_sets, signature, similar, sketch, sketches_allow
+from .shingles import Bands, Hot, close_pairs, keys, shingle_sets, signature, similar, sketch, sketches_allow
 
 
 #: Share of the documents (and how many at least) that have a hot shingle. There are fewer hot ones than an average document
 #: has shingles, divided by the half of that share, so the list is small however many documents there are.
 HOT_SHARE, HOT_LEAST = 0.002, 10
+#: Members of a key that are compared in one task at once, about.
+MEMBERS = 256
 
 
 def _raw(batch) -> list[bytes]:
@@ -78,7 +81,7 @@ def _keyed(docs: DataFrame, size: int, percent: int) -> DataFrame:
 
 
 def _with_sets(docs: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataFrame:
-    """doc_id, n, own, above (sketches of the two schemes), hashes of the documents in nodes."""
+    """doc_id, n, band, own, above (sketches of the two schemes), hashes of the documents in nodes."""
 
     def run(batches):
         import pyarrow as pa
@@ -87,12 +90,12 @@ def _with_sets(docs: DataFrame, nodes: DataFrame, size: int, percent: int) -> Da
         for batch in (p for b in batches for p in _parts(b)):
             sets = shingle_sets(_raw(batch), size)
             made = [[sketch(s, x).tobytes() for x in bands.of(len(s))] if len(s) else [] for s in sets]
-            columns = [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([m[0] if m else None for m in made], pa.binary()), pa.array([m[1] if len(m) > 1 else None for m in made], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "own", "above", "hashes"])
+            columns = [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([bands.of(max(1, len(s)))[0].number for s in sets], pa.int32()), pa.array([m[0] if m else None for m in made], pa.binary()), pa.array([m[1] if len(m) > 1 else None for m in made], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "band", "own", "above", "hashes"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     chosen = docs.select("doc_id", "text").join(small(nodes), "doc_id", "left_semi")
-    return stage(chosen.mapInArrow(run, f"doc_id {kind}, n long, own binary, above binary, hashes binary"), "sets")
+    return stage(chosen.mapInArrow(run, f"doc_id {kind}, n long, band int, own binary, above binary, hashes binary"), "sets")
 
 
 def _beside(pairs: DataFrame, sets: DataFrame, columns: list[str]) -> DataFrame:
@@ -112,7 +115,7 @@ def _allowed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         bands = Bands(percent)
         for batch in batches:
             c = {n: batch.column(n).to_pylist() for n in ("a_n", "b_n", "a_own", "a_above", "b_own", "b_above")}
-            words = lambda i, side: [np.frombuffer(c[f"{side}_{k}"][i], np.uint64) for k in ("own", "above") if c[f"{side}_{k}"][i] is not None]  # noqa: B023, E731
+            words = lambda i, side: [np.frombuffer(c[f"{side}_{k}"][i], np.uint16) for k in ("own", "above") if c[f"{side}_{k}"][i] is not None]  # noqa: B023, E731
             keep = [sketches_allow(words(i, "a"), words(i, "b"), c["a_n"][i], c["b_n"][i], bands) for i in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([batch.column(n).filter(pa.array(keep, pa.bool_())) for n in "ab"], names=["a", "b"])
 
@@ -133,11 +136,31 @@ def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return _beside(pairs, sets, ["hashes"]).mapInArrow(run, pairs.schema)
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    pairs = stage(pairs, "pairs")
-    nodes = stage(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "nodes")
-    sets = _with_sets(docs, nodes, size, percent)
-    return stage(_similar(_allowed(pairs, sets, percent), sets, percent), "links")
+def _across(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of members of a key, of different components, whose sketches allow that they are similar.
+
+    open_: key, doc_id, n, root. A key's members are dealt to blocks by hash, and two blocks meet in a row of their own.
+    """
+    size = open_.groupBy("key").agg(F.ceil(F.count("*") / MEMBERS).alias("blocks"))
+    block = F.pmod(F.xxhash64("doc_id"), F.col("blocks"))
+    mine = F.when(F.col("key").bitwiseAND(F.lit(1)) == F.col("band") % 2, F.col("own")).otherwise(F.col("above"))
+    dealt = open_.join(size, "key").join(sets.select("doc_id", "band", "own", "above"), "doc_id").select("key", block.alias("block"), F.struct("doc_id", "n", "root", mine.alias("sketch"), block.alias("block")).alias("m"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    cells = dealt.groupBy("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).agg(F.collect_list("m").alias("members"))
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in (p for b in batches for p in _parts(b, 64)):
+            a, b = [], []
+            for i, j, members in zip(*(batch.column(c).to_pylist() for c in ("i", "j", "members")), strict=True):
+                for x, y in close_pairs(members, i != j, percent):
+                    a.append(min(x, y))
+                    b.append(max(x, y))
+            kind = batch.schema.field("members").type.value_type.field("doc_id").type
+            yield pa.RecordBatch.from_arrays([pa.array(a, kind), pa.array(b, kind)], names=["a", "b"])
+
+    kind = open_.schema["doc_id"].dataType.simpleString()
+    return cells.mapInArrow(run, f"a {kind}, b {kind}").distinct()
 
 
 def link(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -161,17 +184,16 @@ def link(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     of_key = Window.partitionBy("key")
     met = rows.withColumn("leader", F.min("doc_id").over(of_key)).withColumn("members", F.count("*").over(of_key))
     shared = stage(met.where("members > 1").select("key", "doc_id", "n", "leader", "members"), "shared")
-    star = shared.where("doc_id <> leader").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct()
-    links = _verified(docs, star, size, percent)
+    star = stage(shared.where("doc_id <> leader").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct(), "star")
+    nodes = stage(star.select(F.col("a").alias("doc_id")).unionByName(star.select(F.col("b").alias("doc_id"))).distinct(), "nodes")
+    sets = _with_sets(docs, nodes, size, percent)
+    links = stage(_similar(_allowed(star, sets, percent), sets, percent), "links")
     roots = stage(components(links), "roots")
     others = shared.where((F.col("members") > 2) & (F.col("doc_id") != F.col("leader"))).join(roots, F.col("doc_id") == F.col("node"), "left")
     others = others.select("key", "doc_id", "n", F.coalesce("root", "doc_id").alias("root"))
     mixed = others.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
     open_ = stage(others.join(mixed, "key", "left_semi"), "open")
-    x, y = open_.alias("x"), open_.alias("y")
-    apart = (F.col("x.root") < F.col("y.root")) & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
-    cross = x.join(y, (F.col("x.key") == F.col("y.key")) & apart).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
-    more = _verified(docs, cross, size, percent)
+    more = stage(_similar(stage(_across(open_, sets, percent), "across"), sets, percent), "links")
     if more.count():
         roots = stage(components(links.unionByName(more)), "roots")
     named = classed.select(F.col("doc_id").alias("_doc"), "rep").join(roots, F.col("rep") == F.col("node"), "left")

@@ -110,7 +110,9 @@ def _chunk_keys(s: np.ndarray, scheme: Scheme, space: int) -> tuple[np.ndarray,
     xor = np.zeros(scheme.chunks, np.uint64)
     np.bitwise_xor.at(xor, chunk, s)
     place = (np.arange(scheme.chunks, dtype=np.uint64) << U(16)) + U(2 * scheme.number + space)
-    return mix(mix(xor) + mix(place)), np.bincount(chunk, minlength=scheme.chunks) == 0
+    # The last bit tells the scheme from its neighbours, of which a set has keys too.
+    key = (mix(mix(xor) + mix(place)) & ~U(1)) | U(scheme.number & 1)
+    return key, np.bincount(chunk, minlength=scheme.chunks) == 0
 
 
 def keys(s: np.ndarray, scheme: Scheme, cold: np.ndarray) -> np.ndarray:
@@ -144,9 +146,9 @@ class Hot:
 
 
 def sketch(s: np.ndarray, scheme: Scheme) -> np.ndarray:
-    """64 bits a chunk; each shingle flips one. The Hamming distance of two is at most the symmetric difference of the sets."""
-    words = np.zeros(scheme.chunks, np.uint64)
-    np.bitwise_xor.at(words, _chunk(s, scheme), U(1) << (s & U(63)))
+    """16 bits a chunk; each shingle flips one. The Hamming distance of two is at most the symmetric difference of the sets."""
+    words = np.zeros(scheme.chunks, np.uint16)
+    np.bitwise_xor.at(words, _chunk(s, scheme), (U(1) << (s & U(15))).astype(np.uint16))
     return words
 
 
@@ -163,6 +165,26 @@ def sketches_allow(a: list[np.ndarray], b: list[np.ndarray], n_a: int, n_b: int,
     return int(np.bitwise_count(x ^ y).sum()) <= (n_a + n_b) * (100 - bands.percent) // (100 + bands.percent)
 
 
+def close_pairs(members: list[dict], between: bool, percent: int) -> list[tuple[int, int]]:
+    """Pairs of doc_ids of members (doc_id, n, root, sketch, block) that differ in root and whose sketches, all of one scheme,
+    allow that they are similar; between: only of different blocks."""
+    if len({m["root"] for m in members}) < 2:
+        return []
+    sketches = np.stack([np.frombuffer(m["sketch"], np.uint16) for m in members])
+    doc, n, root, block = (np.array([m[c] for m in members]) for c in ("doc_id", "n", "root", "block"))
+    out = []
+    for i in range(len(members) - 1):
+        j = slice(i + 1, None)
+        fits = (root[j] != root[i]) & (100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i]))
+        if between:
+            fits &= block[j] != block[i]
+        at = np.flatnonzero(fits) + i + 1
+        if len(at):
+            apart = np.bitwise_count(sketches[at] ^ sketches[i]).sum(axis=1, dtype=np.int64)
+            out += [(doc[i].item(), doc[k].item()) for k in at[apart <= (n[at] + n[i]) * (100 - percent) // (100 + percent)]]
+    return out
+
+
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     """Whether 100 * |a & b| >= percent * |a | b|, of sorted different hashes."""
     both = len(a) + len(b) - len(np.union1d(a, b))
