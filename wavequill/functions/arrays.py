@@ -45,13 +45,13 @@ def detrend(x) -> Column:
 
 
 def gradient(x, fs: float = 1.0) -> Column:
-    """Central differences, one-sided at the ends, a second."""
+    """Central differences, one-sided at the ends, a second. A single sample has 0."""
     x = col(x)
     last = F.size(x) - 1
 
     def at(v, i):
         after, before = F.get(x, F.least(i + 1, last)), F.get(x, F.greatest(i - 1, F.lit(0)))
-        return (after - before) / (F.least(i + 1, last) - F.greatest(i - 1, F.lit(0))) * fs
+        return F.coalesce(F.try_divide(after - before, F.least(i + 1, last) - F.greatest(i - 1, F.lit(0))), F.lit(0.0)) * fs
 
     return F.transform(x, at)
 

@@ -60,18 +60,37 @@ def read_npz(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
     return _named(files.mapInPandas(run, PANELS))
 
 
+def _descriptions(spark: SparkSession, path: str) -> list[tuple[str, str, bytes]]:
+    """(store, name, content) of the stores' small files of JSON, whose names begin with a dot: Spark's readers skip those."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs, found = root.getFileSystem(spark._jsc.hadoopConfiguration()), []
+    for pattern in ("*.zarr/.zattrs", "*.zarr/*/.zarray"):
+        for status in fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(root, pattern)) or []:
+            stream = fs.open(status.getPath())
+            try:
+                content = bytes(stream.readAllBytes())
+            finally:
+                stream.close()
+            store, _, name = status.getPath().toString().partition(".zarr/")
+            found.append((f"{store}.zarr", name, content))
+    return found
+
+
 def read_zarr(spark: SparkSession, path: str) -> DataFrame:
-    """The same of .zarr folders (format 2) directly under path, with arrays data and scalars, uncompressed or zlib."""
+    """The same of .zarr folders (format 2) directly under path, with arrays data and scalars, uncompressed or zlib.
+
+    The driver reads the stores' descriptions, a few hundred bytes each; samples are read by Spark.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(F.col("path").contains(".zarr/"))
-    store = F.regexp_extract("path", r"^(.*?\.zarr)/", 1)
-    inside = F.regexp_extract("path", r"^.*?\.zarr/(.*)$", 1)
-    parts = files.select(store.alias("store"), inside.alias("inside"), "content").where(F.col("inside").rlike(r"(^|/)(\.zarray|\.zattrs|\d+(\.\d+)*)$"))
+    store, inside = F.regexp_extract("path", r"^(.*?\.zarr)/", 1), F.regexp_extract("path", r"^.*?\.zarr/(.*)$", 1)
+    chunks = files.select(store.alias("store"), inside.alias("inside"), "content").where(F.col("inside").rlike(r"/\d+(\.\d+)*$"))
+    parts = chunks.unionByName(spark.createDataFrame(_descriptions(spark, path), "store string, inside string, content binary"))
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         content = dict(zip(frame["inside"], frame["content"], strict=True))
-        found = dict(json.loads(content[".zattrs"])) if ".zattrs" in content else {}
+        found = dict(json.loads(bytes(content[".zattrs"]))) if ".zattrs" in content else {}
         for key in [k for k in content if k.endswith("/.zarray")]:
-            name, meta = key.split("/")[0], json.loads(content[key])
+            name, meta = key.split("/")[0], json.loads(bytes(content[key]))
             shape, chunk = meta["shape"], meta["chunks"]
             out = np.full([-(-s // c) * c for s, c in zip(shape, chunk, strict=True)], meta.get("fill_value") or 0, np.dtype(meta["dtype"]))
             for at in [k for k in content if k.startswith(f"{name}/") and k != key]:
