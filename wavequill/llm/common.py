@@ -20,6 +20,9 @@ DELIMITER = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: No table of more rows than this is broadcast; beyond it the same join shuffles, or runs in blocks.
 BROADCAST_ROWS = 1_000_000
 
+#: Spark's setting by which the shuffle files of a query are removed at its end, and not when the driver collects garbage.
+SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -49,17 +52,41 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts the lineage, and outlives the executors that wrote it."""
+    """df as a Parquet table in the shared folder: cuts the lineage, and outlives the executors that wrote it.
+
+    The shuffles of the write are of no use once the table is there, and go with its end.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/wavequill-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path = f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(SHUFFLES_GO, None)
+    spark.conf.set(SHUFFLES_GO, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(SHUFFLES_GO) if before is None else spark.conf.set(SHUFFLES_GO, before)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.staged_at = path
+    return found
+
+
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/wavequill-{spark.sparkContext.applicationId}"
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def unstage(*tables: DataFrame) -> None:
+    """Removes tables that stage() returned, once all that reads them is staged itself."""
+    for df in tables:
+        _delete(df.sparkSession, df.staged_at)
 
 
 def clean(spark: SparkSession) -> None:
     """Removes this application's staged tables. Frames that still read them fail afterwards."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/wavequill-{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, _own_dir(spark))
 
 
 def small(df: DataFrame, rows: int | None = None, bound: int = BROADCAST_ROWS) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import small, stage
+from .common import small, stage, unstage
 from .components import components
 from .shingles import Bands, Hot, close_pairs, keys, shingle_sets, signature, similar, sketch, sketches_allow
 
@@ -174,16 +174,20 @@ def link(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     Sets are compared by 64-bit hashes of shingles, and copies found by 128 bits of the set.
     """
     docs = docs.select("doc_id", "text")
-    base = stage(_keyed(docs, size, percent), "keyed")
-    known = base.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
+    keyed = stage(_keyed(docs, size, percent), "keyed")
+    base = stage(keyed.drop("keys"), "documents")
+    has_words = (F.col("n") > 0) & F.col("doc_id").isNotNull()
+    known = base.where(has_words)
     copies = stage(known.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")).where("c > 1").drop("c"), "copies")
     n_copies = copies.count()
-    classed = known.join(small(copies, n_copies), ["s1", "s2"], "left").withColumn("rep", F.coalesce("rep", "doc_id"))
+    of_class = lambda rows: rows.join(small(copies, n_copies), ["s1", "s2"], "left").withColumn("rep", F.coalesce("rep", "doc_id"))
+    classed = of_class(known)
     # A class has a row for each of its keys, so no key can hold more than a fraction of all rows.
-    rows = classed.where("rep = doc_id").select("doc_id", "n", F.explode("keys").alias("key"))
+    rows = of_class(keyed.where(has_words)).where("rep = doc_id").select("doc_id", "n", F.explode("keys").alias("key"))
     of_key = Window.partitionBy("key")
     met = rows.withColumn("leader", F.min("doc_id").over(of_key)).withColumn("members", F.count("*").over(of_key))
     shared = stage(met.where("members > 1").select("key", "doc_id", "n", "leader", "members"), "shared")
+    unstage(keyed)
     star = stage(shared.where("doc_id <> leader").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct(), "star")
     nodes = stage(star.select(F.col("a").alias("doc_id")).unionByName(star.select(F.col("b").alias("doc_id"))).distinct(), "nodes")
     sets = _with_sets(docs, nodes, size, percent)
@@ -194,6 +198,7 @@ def link(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     mixed = others.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
     open_ = stage(others.join(mixed, "key", "left_semi"), "open")
     more = stage(_similar(stage(_across(open_, sets, percent), "across"), sets, percent), "links")
+    unstage(shared, open_, sets)
     if more.count():
         roots = stage(components(links.unionByName(more)), "roots")
     named = classed.select(F.col("doc_id").alias("_doc"), "rep").join(roots, F.col("rep") == F.col("node"), "left")
