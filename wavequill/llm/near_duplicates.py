@@ -115,7 +115,7 @@ def _allowed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         bands = Bands(percent)
         for batch in batches:
             c = {n: batch.column(n).to_pylist() for n in ("a_n", "b_n", "a_own", "a_above", "b_own", "b_above")}
-            words = lambda i, side: [np.frombuffer(c[f"{side}_{k}"][i], np.uint16) for k in ("own", "above") if c[f"{side}_{k}"][i] is not None]  # noqa: B023, E731
+            words = lambda i, side: [np.frombuffer(c[f"{side}_{k}"][i], np.uint8) for k in ("own", "above") if c[f"{side}_{k}"][i] is not None]  # noqa: B023, E731
             keep = [sketches_allow(words(i, "a"), words(i, "b"), c["a_n"][i], c["b_n"][i], bands) for i in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([batch.column(n).filter(pa.array(keep, pa.bool_())) for n in "ab"], names=["a", "b"])
 
@@ -195,7 +195,11 @@ def link(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     roots = stage(components(links), "roots")
     others = shared.where((F.col("members") > 2) & (F.col("doc_id") != F.col("leader"))).join(roots, F.col("doc_id") == F.col("node"), "left")
     others = others.select("key", "doc_id", "n", F.coalesce("root", "doc_id").alias("root"))
-    mixed = others.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
+    # Documents that share a passage meet by many keys; one of all keys with the same members is enough.
+    member = F.xxhash64("doc_id", "n")
+    same_members = {"m1": F.count("*"), "m2": F.bit_xor(member), "m3": F.sum(F.hash(F.lit(1), member).cast("long")), "m4": F.sum(F.hash(F.lit(2), member).cast("long"))}
+    of_keys = others.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), *[c.alias(n) for n, c in same_members.items()])
+    mixed = of_keys.where("x <> y").groupBy(*same_members).agg(F.min("key").alias("key")).select("key")
     open_ = stage(others.join(mixed, "key", "left_semi"), "open")
     more = stage(_similar(stage(_across(open_, sets, percent), "across"), sets, percent), "links")
     unstage(shared, open_, sets)

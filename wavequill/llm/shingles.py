@@ -146,9 +146,10 @@ class Hot:
 
 
 def sketch(s: np.ndarray, scheme: Scheme) -> np.ndarray:
-    """16 bits a chunk; each shingle flips one. The Hamming distance of two is at most the symmetric difference of the sets."""
-    words = np.zeros(scheme.chunks, np.uint16)
-    np.bitwise_xor.at(words, _chunk(s, scheme), (U(1) << (s & U(15))).astype(np.uint16))
+    """4 bits a chunk; each shingle flips one. The Hamming distance of two is at most the symmetric difference of the sets."""
+    chunk = _chunk(s, scheme)
+    words = np.zeros((scheme.chunks + 1) // 2, np.uint8)
+    np.bitwise_xor.at(words, chunk >> 1, (1 << ((s & U(3)).astype(np.int64) + 4 * (chunk & 1))).astype(np.uint8))
     return words
 
 
@@ -170,7 +171,7 @@ def close_pairs(members: list[dict], between: bool, percent: int) -> list[tuple[
     allow that they are similar; between: only of different blocks."""
     if len({m["root"] for m in members}) < 2:
         return []
-    sketches = np.stack([np.frombuffer(m["sketch"], np.uint16) for m in members])
+    sketches = np.stack([np.frombuffer(m["sketch"], np.uint8) for m in members])
     doc, n, root, block = (np.array([m[c] for m in members]) for c in ("doc_id", "n", "root", "block"))
     out = []
     for i in range(len(members) - 1):
