@@ -450,3 +450,13 @@ def test_lines(spark, odd, none):
     assert want != [t for _, t, _ in docs]
     assert rows_of(line_dedup.drop_lines(odd), "doc_id", "text") == ordered([(r[0], r[1]) for r in ROWS])
     assert line_dedup.drop_lines(none).count() == 0
+
+
+def test_lines_at_production_parameters(spark):
+    """What goes and what stays, as README says: the share of a site's pages decides, not the number of documents."""
+    long = " ".join(f"word{i}" for i in range(60))
+    shared = lambda i: ["On 11 of 100"] * (i < 11) + ["On 10 of 100"] * (i < 10) + [long] * (i < 5)
+    docs = [(100 * s + i, "\n".join([f"own line {s} {i}", *shared(i)]), f"s{s}") for s in range(3) for i in range(100)]
+    docs += [(1000 + i, f"own line {i}\nOn all pages of a small site", "small") for i in range(4)]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.drop_lines(spark.createDataFrame(docs, "doc_id long, text string, source string")).collect()}
+    assert got == {i: "\n".join(x for x in t.split("\n") if x != "On 11 of 100") for i, t, _ in docs}
