@@ -244,6 +244,19 @@ def test_quality_verdicts(spark):
     assert all(got[i] for i in range(200)) and not any(got[i] for i in range(200, 210))
 
 
+def test_quality_judges_small_groups(spark):
+    """Groups of fewer than MIN_GROUP are judged by their language, and small languages by all documents."""
+    rng = random.Random(8)
+    docs = [(" ".join(rng.choices(VOCABULARY, k=rng.randint(60, 200))), "en", "large") for _ in range(100)]
+    docs += [(" ".join(rng.choices(VOCABULARY, k=rng.randint(60, 200))), lang, f"s{i % 3}") for i in range(12) for lang in ("en", "xx", None)]
+    n = len(docs)
+    docs += [(" ".join(w + "###" for w in t.split()), lang, source) for t, lang, source in docs[100:n]][:9]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(docs)], "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r for r in quality.judge(df).collect()}
+    assert len(got) == len(docs) and all(r["distance"] is not None for r in got.values())
+    assert all(got[i]["kept"] for i in range(n)) and not any(got[i]["kept"] for i in range(n, len(docs)))
+
+
 # Toxicity
 
 

@@ -13,7 +13,7 @@ from .common import SPACE, small, split_words, stage, text_of
 
 #: Fixed values of the base rules.
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
-#: Share of a group that the estimates rest on, concentration steps, and documents that a group needs to be judged.
+#: Share of a group that the estimates rest on, concentration steps, and documents that a group needs for estimates of its own.
 H, STEPS, MIN_GROUP = 0.75, 3, 30
 #: Squared distance beyond which a document is rejected. The median of chi-squared with 5 degrees is 4.3515.
 CUTOFF, CHI2_MEDIAN = 40.0, 4.3515
@@ -117,17 +117,37 @@ def estimates(stats: DataFrame) -> DataFrame:
     return stage(params.join(mid, "grp").select(params["*"], scale.alias("scale")), "estimates")
 
 
+def _with_wider(featured: DataFrame) -> DataFrame:
+    """grp, m.., v.., scale of every group of featured (grp, lang, FEATURES): its own estimates, or where it has fewer than
+    MIN_GROUP rows those of its language, or else of all rows. Wider estimates are made only if a group needs them."""
+    found = estimates(featured.select("grp", *FEATURES))
+    wider = [F.to_json(F.struct("lang"), {"ignoreNullFields": "false"}), F.lit("all")]
+    groups = stage(featured.groupBy("grp").agg(F.first("lang").alias("lang")), "groups")
+    for of in wider:
+        lacking = groups.join(found.select("grp"), "grp", "left_anti").select("grp", of.alias("_wide"))
+        asked = stage(lacking.select("_wide").distinct(), "asked")
+        n_asked = asked.count()
+        if not n_asked:
+            break
+        rows = featured.select(of.alias("_wide"), *FEATURES).join(small(asked, n_asked, 50_000), "_wide", "left_semi")
+        wide = estimates(rows.withColumnRenamed("_wide", "grp")).withColumnRenamed("grp", "_wide")
+        found = stage(found.unionByName(lacking.join(small(wide, bound=50_000), "_wide").drop("_wide")), "estimates")
+    return found
+
+
 def judge(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     """doc_id, lang, source, the counts, base_failed, distance, kept for every row of docs (doc_id, text, lang, source).
 
     Null texts have no words, and fail the base like any of fewer than MIN_WORDS. Null languages and sources make groups of
-    their own. Groups of fewer than MIN_GROUP documents have null distances and aren't judged beyond the base. Repeated rows
-    count as often as they are there; equal rows get equal verdicts. Empty tables give no rows. Other columns are not read.
+    their own. Groups of fewer than MIN_GROUP documents are judged by the estimates of their language, or if that has fewer
+    too, of all documents; only in a table of fewer than MIN_GROUP documents distances are null and the base alone decides.
+    Repeated rows count as often as they are there; equal rows get equal verdicts. Empty tables give no rows. Other columns
+    are not read.
     """
     counted = stage(counts(docs.select("doc_id", "text", "lang", "source")), "counts")
     grp = F.to_json(F.struct("lang", "source"), {"ignoreNullFields": "false"}).alias("grp")
     featured = counted.select("*", grp, *_features())
-    params = estimates(featured.select("grp", *FEATURES)).withColumnRenamed("grp", "_grp")
+    params = _with_wider(featured).withColumnRenamed("grp", "_grp")
     joined = featured.join(small(params, bound=50_000), F.col("grp") == F.col("_grp"), "left")
     d2 = F.lit(0.0)
     for i in range(len(FEATURES)):
