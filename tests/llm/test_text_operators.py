@@ -99,6 +99,19 @@ def test_mix_comes_near_its_targets(spark):
     assert rows_of(mixing.mix(df.repartition(7)), "doc_id", "taken") == rows_of(mixing.mix(df), "doc_id", "taken")
 
 
+def test_mix_of_tiny_sources_beside_a_huge_one(spark):
+    """Blocks are of several tokens here, and the tiny sources have less than one block, or a few."""
+    sizes = {"a": 1, "b": 5, "c": 9, "d": 40, "e": 150, None: 7}
+    docs = [(i, "w " * 4000, "huge") for i in range(100)]
+    docs += [(1000 * k + i, "w", s) for k, (s, n) in enumerate(sizes.items(), 1) for i in range(n)] + [(9999, None, "a"), (9998, "w " * 8, "d")]
+    got = mixing.mix(spark.createDataFrame(docs, "doc_id long, text string, source string")).collect()
+    assert len(got) == len(docs) and sum(r["size"] for r in got) // mixing.SLOTS > 1
+    for s in {s for _, _, s in docs}:
+        mine = [r for r in got if r["source"] == s]
+        assert sum(r["taken"] for r in mine) == pytest.approx(mine[0]["target"], rel=1e-3)
+        assert all(0 <= r["taken"] <= 3 * r["size"] for r in mine) and max(r["taken"] for r in mine) > 0
+
+
 # Near duplicates
 
 

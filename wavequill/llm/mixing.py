@@ -13,6 +13,8 @@ WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
 #: Tokens of a block at most, and slots of a schedule at least (as far as there are tokens).
 BLOCK, SLOTS = 4096, 65536
+#: With blocks of several tokens, sources that have or get fewer blocks than this take their target by the token.
+FEW = 64
 #: Fixed value: the golden ratio less 1; multiples of it modulo 1 are the schedule's points.
 GOLDEN = 0.6180339887498949
 #: Slots in a chunk and documents in a bucket, about: ranks are counted in these and carried over between them.
@@ -81,7 +83,9 @@ def mix(docs: DataFrame, weights=WEIGHTS) -> DataFrame:
 
     Each source's documents, shuffled by md5 of doc_id, lie end to end; every block of equal tokens is taken as often as
     the schedule has slots for it, so a source is passed whole before it is begun again. taken counts a document's tokens in
-    the blocks, repeats included, at most MAX_EPOCHS times its size. Null and empty texts have size 0 and are not taken; null
+    the blocks, repeats included, at most MAX_EPOCHS times its size. Where blocks are of several tokens, a source of fewer
+    than FEW of them (or with a target of fewer) would miss its target by whole blocks or get no slot: it takes its target
+    rounded to a token, whole epochs and then the first documents of the next. Null and empty texts have size 0 and are not taken; null
     is a source like any other, the last. Rows that repeat are documents of their own. Empty tables give no rows. Other
     columns are not read.
     """
@@ -96,11 +100,16 @@ def mix(docs: DataFrame, weights=WEIGHTS) -> DataFrame:
     placed = _ranked(joined.withColumn("bucket", F.substring("h", 1, digits)), "sid", "bucket", ["h", "doc_id", "size"], F.col("size"), "at")
     placed = stage(placed.select("doc_id", "source", "size", "source_size", "target", "sid", "at"), "placed")
     times = schedule(spark, sources, -(-total // block), block).groupBy("sid", "block").agg(F.count("*").alias("times"))
+    few = (F.lit(block) > 1) & (F.least("source_size", "target") < FEW * block)
+    due = F.least(F.round("target").cast("long"), MAX_EPOCHS * F.col("source_size"))
+    whole = F.nullif(F.col("source_size"), F.lit(0))
+    begun = F.greatest(F.lit(0), F.least("size", due % whole - F.col("at")))
+    placed = placed.withColumn("exact", F.when(few, F.col("size") * F.floor(due / whole) + begun))
     end = F.col("at") + F.col("size")
     spans = placed.where(F.col("size") > 0).select("sid", "at", end.alias("end"), F.explode(F.sequence(F.floor(F.col("at") / block), F.floor((end - 1) / block))).alias("block"))
     overlap = F.least("end", (F.col("block") + 1) * block) - F.greatest("at", F.col("block") * block)
     taken = spans.join(times, ["sid", "block"]).groupBy("sid", "at").agg(F.sum(overlap * F.col("times")).alias("taken"))
-    took = F.when(F.col("size") > 0, F.coalesce("taken", F.lit(0))).otherwise(0).cast("long")
+    took = F.when(F.col("size") == 0, 0).otherwise(F.coalesce("exact", "taken", F.lit(0))).cast("long")
     out = placed.join(taken, same(placed, taken, ["sid", "at"]), "left")
     return out.select("doc_id", "source", "size", "source_size", "target", took.alias("taken"))
 
