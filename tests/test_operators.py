@@ -1,3 +1,4 @@
+import os
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 from wavequill import config, names
 from wavequill.functions import arrays, dsp
 from wavequill.operators import correlate, delays, diagnostics, fidelity, gathers, imaging, inversion, stacking, traces
-from wavequill.plans import planner
+from wavequill.plans import catalogue, planner
 
 
 def frame(spark, panel, gather="g"):
@@ -228,6 +229,58 @@ def test_forward_model_and_inversion(spark):
     assert s[0, 30.0] > 0.9 and s[1, 1.0] > s[1, 30.0]
 
 
+def boundary_gap(c, f, h, vs, vp):
+    """The least singular value of the boundary conditions of one layer over a half-space: 0 for a Rayleigh wave."""
+    w, k, a = 2 * np.pi * f, 2 * np.pi * f / c, np.zeros((6, 6), complex)
+
+    def waves(i, z, sign):
+        p, s, m, lam = *(sign * np.sqrt(k * k - (w / x[i]) ** 2 + 0j) for x in (vp, vs)), vs[i] ** 2, vp[i] ** 2 - 2 * vs[i] ** 2
+        yield np.exp(p * z) * np.array([1j * k, p, 2j * m * k * p, (lam + 2 * m) * p * p - lam * k * k])
+        yield np.exp(s * z) * np.array([-s, 1j * k, -m * (s * s + k * k), 2j * m * k * s])
+
+    for j, (top, bottom) in enumerate(zip([*waves(0, 0, 1), *waves(0, 0, -1)], [*waves(0, h, 1), *waves(0, h, -1)], strict=True)):
+        a[:2, j], a[2:, j] = top[2:], bottom
+    a[2:, 4], a[2:, 5] = (-x for x in waves(1, h, -1))
+    a /= np.abs(a).max(1, keepdims=True)
+    return np.linalg.svd(a / np.abs(a).max(0, keepdims=True), compute_uv=False)[-1]
+
+
+def test_rayleigh_waves():
+    f = np.array([1.0, 3.0, 5.0, 7.0, 9.0, 40.0])
+    same = inversion.rayleigh_wave_velocity([[10, 20]], [[200] * 3], [[400] * 3], f)
+    assert np.allclose(same, 186.505181, atol=1e-5)  # the root of Rayleigh's cubic for vp = 2 vs
+    c = inversion.rayleigh_wave_velocity([[10]], [[150, 400]], [[300, 800]], f)[0]
+    assert (np.diff(c) < 0).all() and c[-1] == pytest.approx(150 * 186.505181 / 200, rel=1e-3)
+    for a, b in zip(f[:5], c, strict=False):
+        assert boundary_gap(b, a, 10, (150, 400), (300, 800)) < 1e-8 < 1e-4 < min(boundary_gap(b * x, a, 10, (150, 400), (300, 800)) for x in (0.98, 1.02))
+
+
+def test_inversion_of_rayleigh_waves(spark):
+    f = np.array([2.0, 4.0, 7.0, 12.0, 20.0])
+    c = inversion.rayleigh_wave_velocity([[12.0]], [[200, 450]], [[400, 900]], f)[0]
+    curve = spark.createDataFrame([(0, float(a), float(b)) for a, b in zip(f, c, strict=True)], "station int, f double, v double")
+    got = inversion.invert(curve, [(5, 20, 100, 300, 0.32, 0.34), (0, 0, 300, 700, 0.32, 0.34)], runs=2, particles=20, steps=60, wave="rayleigh").toPandas()
+    best = got[got["misfit"] == got["misfit"].min()].sort_values("layer")
+    assert best["misfit"].iloc[0] < 2 and best["vs"].iloc[0] == pytest.approx(200, abs=10) and best["vs"].iloc[1] == pytest.approx(450, abs=25)
+    assert got["poisson"].between(0.32, 0.34).all() and len(got) == 2 * 2 * (20 + 60 * 10)
+    layers = spark.createDataFrame([(0, 0, 12.0, 200.0), (0, 1, 0.0, 450.0), (1, 0, 0.0, 300.0)], "model int, layer int, h double, vs double")
+    s = {(r.model, r.layer, r.f): r.s for r in inversion.sensitivity(layers, [2.0, 40.0], keys=("model",), wave="rayleigh").collect()}
+    assert len(s) == 6 and s[0, 0, 40.0] > 0.8 > s[0, 0, 2.0] and s[0, 1, 2.0] > s[0, 1, 40.0]
+
+
+def test_registered_inversion_and_sensitivity(spark, monkeypatch):
+    """The search has the reference's size, and the kernels are of every model of the table."""
+    asked = {}
+    monkeypatch.setattr(catalogue.inversion, "invert", lambda curves, bounds, **by: asked.update(by, layers=len(bounds)) or curves)
+    monkeypatch.setattr(catalogue, "rounded", lambda df, *a: df)
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("no tables here")
+    catalogue.QUERIES["invert_curves"](spark, "/root/testdata/sf0.001")
+    assert asked["wave"] == "rayleigh"
+    layers = catalogue.models_of(spark, "/root/testdata/sf0.001")
+    assert catalogue.QUERIES["sensitivity"](spark, "/root/testdata/sf0.001").select("model").distinct().count() == layers.select("model").distinct().count()
+
+
 def test_diagnostics(spark, rng):
     x = rng.standard_normal((4, 64))
     df = frame(spark, x)

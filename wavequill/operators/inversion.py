@@ -98,64 +98,133 @@ def love_wave_velocity(h: np.ndarray, vs: np.ndarray, rho: np.ndarray, freqs: np
     return out
 
 
-def invert(curves: DataFrame, bounds: list[tuple[float, float, float, float]], runs: int = 2, particles: int = 20, steps: int = 30, seed: int = 42, keys=("station",)) -> DataFrame:
+def _rayleigh_function(c, w, h, vs, vp):
+    """The secular function of Rayleigh waves by Dunkin's compound matrices in their reduced form (Buchen and Ben-Hador), one
+    density throughout. c, w: (models, frequencies, velocities), (frequencies, 1). h, vs, vp: (models, layers). Only its sign
+    and zeros matter: it is scaled by positive factors on the way."""
+    at = lambda x, i: x[:, i, None, None]
+    c2, k = c * c, w / c
+
+    def depth(i, speed):
+        """cosh, sinh / r and r sinh over layer i, by exp(-shift), and shift."""
+        q = 1 - c2 / at(speed, i) ** 2
+        r = np.maximum(np.sqrt(np.abs(q)), 1e-9)
+        x, down = k * r * at(h, i), q > 0
+        shift = np.where(down, x, 0)
+        e = np.exp(-2 * shift)
+        cos, sin = np.where(down, (1 + e) / 2, np.cos(x)), np.where(down, (1 - e) / 2, np.sin(x))
+        return cos, sin / r, np.where(down, r, -r) * sin, shift
+
+    t = 2 - c2 / at(vs, 0) ** 2
+    x1, x2, x3, x4, x5 = 2 * t, -t * t, np.zeros_like(t), np.zeros_like(t), np.full_like(t, -4)
+    for i in range(h.shape[1]):
+        eta = 2 * (at(vs, i) ** 2 - at(vs, i + 1) ** 2) / c2
+        (ca, sa_r, r_sa, pa), (cb, sb_s, s_sb, pb) = depth(i, vp), depth(i, vs)
+        p1, p2, p3, p4 = cb * x2 + s_sb * x3, cb * x4 + s_sb * x5, sb_s * x2 + cb * x3, sb_s * x4 + cb * x5
+        q1, q2, q3, q4 = ca * p1 - r_sa * p2, ca * p4 - sa_r * p3, ca * p3 - r_sa * p4, ca * p2 - sa_r * p1
+        x1 = x1 * np.exp(-pa - pb)
+        y1, y2, z1, z2 = eta * x1 + (1 + eta) * q1, (1 + eta) * x1 + eta * q2, (1 - eta) * x1 - eta * q1, (1 - eta) * q2 - eta * x1
+        x1, x2, x3, x4, x5 = (1 - eta) * y2 - eta * y1, (1 + eta) * y1 + eta * y2, q3, q4, (1 - eta) * z2 - eta * z1
+        scale = np.maximum(np.abs(x1) + np.abs(x2) + np.abs(x3) + np.abs(x4) + np.abs(x5), 1e-300)
+        x1, x2, x3, x4, x5 = x1 / scale, x2 / scale, x3 / scale, x4 / scale, x5 / scale
+    r, s = (np.sqrt(np.maximum(1 - c2 / at(x, -1) ** 2, 0)) for x in (vp, vs))
+    return x2 + s * x3 - r * (x4 + s * x5)
+
+
+def rayleigh_wave_velocity(h: np.ndarray, vs: np.ndarray, vp: np.ndarray, freqs: np.ndarray, points: int = 160) -> np.ndarray:
+    """Fundamental-mode Rayleigh-wave phase velocities (models, frequencies) of layers of one density over a half-space; nan
+    where none is found below the half-space's vs. h: (models, layers); vs, vp: (models, layers and half-space)."""
+    h, vs, vp = (np.atleast_2d(np.asarray(x, float)) for x in (h, vs, vp))
+    w = 2 * np.pi * np.asarray(freqs, float)[:, None]
+    low = np.repeat(0.7 * vs.min(1)[:, None], len(w), 1)
+    high = np.repeat(vs[:, -1:] * 0.999999, len(w), 1)
+    missing = low >= high
+    for n in (points, 16, 16, 16):
+        c = low[..., None] + (high - low)[..., None] * np.linspace(0, 1, n + 1)
+        values = _rayleigh_function(c, w, h, vs, vp)
+        turns = np.signbit(values[..., 1:]) != np.signbit(values[..., :-1])
+        missing |= ~turns.any(-1)
+        j = turns.argmax(-1)[..., None]
+        low, high, a, b = (np.take_along_axis(x, i, -1)[..., 0] for x, i in ((c, j), (c, j + 1), (values, j), (values, j + 1)))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(missing, np.nan, np.where(a == b, low, low - a * (high - low) / (b - a)))
+
+
+def _modelled(wave: str, h: np.ndarray, vs: np.ndarray, poisson: np.ndarray | None, f: np.ndarray) -> np.ndarray:
+    """Phase velocities (models, frequencies) of layers over a half-space, of one density. Without poisson, vp is twice vs."""
+    if wave == "rayleigh":
+        vp = 2 * vs if poisson is None else vs * np.sqrt((2 - 2 * poisson) / (1 - 2 * poisson))
+        return rayleigh_wave_velocity(h, vs, vp, f)
+    if wave != "love":
+        raise ValueError(f"no such wave: {wave}")
+    return np.stack([love_wave_velocity(a, b, np.full(len(b), 2000.0), f) for a, b in zip(h, vs, strict=True)])
+
+
+def invert(curves: DataFrame, bounds: list[tuple[float, ...]], runs: int = 2, particles: int = 20, steps: int = 30, seed: int = 42, keys=("station",), wave: str = "love") -> DataFrame:
     """keys, run, model, layer, h, vs, misfit: layered models of shear velocity by a competing swarm, each run of a station in a
-    task of its own. curves: keys, f, v. bounds: h_min, h_max, vs_min, vs_max of each layer, the half-space last. Velocities that
-    don't grow with depth are put in order.
+    task of its own. curves: keys, f, v. bounds: h_min, h_max, vs_min, vs_max of each layer, the half-space last, and for all or
+    none least and greatest Poisson's ratios, which are searched then and returned as poisson. Velocities that don't grow with
+    depth are put in order. Every model that was tried is returned once.
 
-    Modelled are Love waves, whose propagator is short; forward models of other waves can replace love_wave_velocity().
+    wave: love, or rayleigh; vp is twice vs without Poisson's ratios.
     """
-    low, high = np.array(bounds)[:, [0, 2]], np.array(bounds)[:, [1, 3]]
+    low, high = np.array(bounds, float)[:, 0::2], np.array(bounds, float)[:, 1::2]
+    ratios = low.shape[1] > 2
 
     def run(key, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("f")
         f, v = frame["f"].to_numpy(), frame["v"].to_numpy()
         rng = np.random.default_rng(seed + int(key[-1]))
-        order = lambda x: np.stack([x[..., 0], np.sort(x[..., 1], axis=-1)], -1)
+        order = lambda x: np.concatenate([x[..., :1], np.sort(x[..., 1:2], axis=-2), x[..., 2:]], -1)
 
-        def misfit(m):
-            got = love_wave_velocity(m[:-1, 0], m[:, 1], np.full(len(m), 2000.0), f)
-            return float(np.sqrt(np.nanmean((got - v) ** 2))) if np.isfinite(got).any() else np.inf
+        def misfits(m):
+            got = _modelled(wave, m[:, :-1, 0], m[:, :, 1], m[:, :, 2] if ratios else None, f)
+            some = np.isfinite(got).any(1)
+            out = np.full(len(m), np.inf)
+            out[some] = np.sqrt(np.nanmean((got[some] - v) ** 2, axis=1))
+            return out
 
         swarm = order(low + rng.random((particles, *low.shape)) * (high - low))
-        speed, costs, seen = np.zeros_like(swarm), np.array([misfit(m) for m in swarm]), []
+        speed, costs = np.zeros_like(swarm), misfits(swarm)
+        seen, seen_costs = [swarm.copy()], [costs.copy()]
         for _ in range(steps):
-            seen += [(c, m.copy()) for c, m in zip(costs, swarm, strict=True)]
             # Particles meet in pairs; the worse learns from the better.
             pairs = rng.permutation(particles)
-            mean = swarm.mean(0)
-            for a, b in zip(pairs[::2], pairs[1::2], strict=False):
-                win, lose = (a, b) if costs[a] <= costs[b] else (b, a)
-                r = rng.random((3, *low.shape))
-                speed[lose] = r[0] * speed[lose] + r[1] * (swarm[win] - swarm[lose]) + 0.1 * r[2] * (mean - swarm[lose])
-                swarm[lose] = order(np.clip(swarm[lose] + speed[lose], low, high))
-                costs[lose] = misfit(swarm[lose])
-        seen += [(c, m) for c, m in zip(costs, swarm, strict=True)]
-        kept = [(i, c, m) for i, (c, m) in enumerate(seen) if np.isfinite(c)]
-        n = len(low)
-        return pd.DataFrame({**{k: np.repeat(x, len(kept) * n) for k, x in zip([*keys, "run"], key, strict=True)}, "model": np.repeat([i for i, _, _ in kept], n), "layer": np.tile(np.arange(n), len(kept)), "h": np.concatenate([m[:, 0] for _, _, m in kept] or [[]]), "vs": np.concatenate([m[:, 1] for _, _, m in kept] or [[]]), "misfit": np.repeat([c for _, c, _ in kept], n)})
+            a, b = pairs[::2][: particles // 2], pairs[1::2]
+            win, lose = np.where(costs[a] <= costs[b], a, b), np.where(costs[a] <= costs[b], b, a)
+            r = rng.random((len(lose), 3, *low.shape))
+            speed[lose] = r[:, 0] * speed[lose] + r[:, 1] * (swarm[win] - swarm[lose]) + 0.1 * r[:, 2] * (swarm.mean(0) - swarm[lose])
+            swarm[lose] = order(np.clip(swarm[lose] + speed[lose], low, high))
+            costs[lose] = misfits(swarm[lose])
+            seen.append(swarm[lose])
+            seen_costs.append(costs[lose])
+        models, cost = np.concatenate(seen), np.concatenate(seen_costs)
+        kept = np.flatnonzero(np.isfinite(cost))
+        n, m = len(low), models[kept].reshape(-1, low.shape[1])
+        found = {"model": np.repeat(kept, n), "layer": np.tile(np.arange(n), len(kept)), "h": m[:, 0], "vs": m[:, 1], **({"poisson": m[:, 2]} if ratios else {}), "misfit": np.repeat(cost[kept], n)}
+        return pd.DataFrame({**{k: np.repeat(x, len(m)) for k, x in zip([*keys, "run"], key, strict=True)}, **found})
 
     types = ", ".join(f"{k} {curves.schema[k].dataType.simpleString()}" for k in keys)
     tasks = curves.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))))
-    return tasks.groupBy(*keys, "run").applyInPandas(run, f"{types}, run int, model long, layer long, h double, vs double, misfit double")
+    return tasks.groupBy(*keys, "run").applyInPandas(run, f"{types}, run int, model long, layer long, h double, vs double, {'poisson double, ' if ratios else ''}misfit double")
 
 
-def sensitivity(models: DataFrame, freqs: list[float], step: float = 0.01, keys=("station",)) -> DataFrame:
-    """keys, layer, f, s: how much the phase velocity changes with each layer's shear velocity, by finite differences."""
+def sensitivity(models: DataFrame, freqs: list[float], step: float = 0.01, keys=("station",), wave: str = "love") -> DataFrame:
+    """keys, layer, f, s: how much the phase velocity changes with each layer's shear velocity, by finite differences. wave: love,
+    or rayleigh with a vp of twice vs, which is held."""
     f = np.asarray(freqs, float)
 
     def run(key, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("layer")
-        h, vs = frame["h"].to_numpy()[:-1], frame["vs"].to_numpy()
-        rho = np.full(len(vs), 2000.0)
-        rows = []
-        for i in range(len(vs)):
-            up, down = vs.copy(), vs.copy()
-            up[i] *= 1 + step
-            down[i] *= 1 - step
-            s = (love_wave_velocity(h, up, rho, f) - love_wave_velocity(h, down, rho, f)) / (up[i] - down[i])
-            rows.append(pd.DataFrame({**dict(zip(keys, key, strict=True)), "layer": i, "f": f, "s": s}))
-        return pd.concat(rows)
+        h, vs = frame["h"].to_numpy(float)[:-1], frame["vs"].to_numpy(float)
+        n = len(vs)
+        changed = np.concatenate([vs * (1 + step * np.eye(n)), vs * (1 - step * np.eye(n))])
+        if wave == "rayleigh":
+            c = rayleigh_wave_velocity(np.tile(h, (2 * n, 1)), changed, np.tile(2 * vs, (2 * n, 1)), f)
+        else:
+            c = _modelled(wave, np.tile(h, (2 * n, 1)), changed, None, f)
+        s = (c[:n] - c[n:]) / (2 * step * vs[:, None])
+        return pd.DataFrame({**{k: np.repeat(x, n * len(f)) for k, x in zip(keys, key, strict=True)}, "layer": np.repeat(np.arange(n), len(f)), "f": np.tile(f, n), "s": s.ravel()})
 
     types = ", ".join(f"{k} {models.schema[k].dataType.simpleString()}" for k in keys)
     return models.groupBy(*keys).applyInPandas(run, f"{types}, layer int, f double, s double")

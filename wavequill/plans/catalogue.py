@@ -734,10 +734,9 @@ def smooth_section(spark, sf):
 @query()
 def invert_curves(spark, sf):
     curves = imaging.regularise(picks(spark, sf).select("dist", "f", "v"), 1.0, 9.0, 2.0).select(F.col("dist").alias("station"), "f", "v")
-    return rounded(inversion.invert(curves, [(2, 20, 60, 200), (5, 40, 120, 300), (0, 0, 200, 600)], runs=1, particles=6, steps=2))
+    return rounded(inversion.invert(curves, [(2, 20, 60, 200), (5, 40, 120, 300), (0, 0, 200, 600)], runs=1, particles=6, steps=2, wave="rayleigh"))
 
 
 @query()
 def sensitivity(spark, sf):
-    layers = spark.createDataFrame([(s, i, h, v) for s in range(4) for i, (h, v) in enumerate([(10.0, 150.0 + 10 * s), (20.0, 250.0), (0.0, 500.0)])], "station int, layer int, h double, vs double")
-    return rounded(inversion.sensitivity(layers, [2.0, 4.0, 8.0]))
+    return rounded(inversion.sensitivity(models_of(spark, sf), [2.0, 4.0, 8.0], keys=("model",), wave="rayleigh"))
