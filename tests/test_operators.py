@@ -276,7 +276,7 @@ def test_registered_inversion_and_sensitivity(spark, monkeypatch):
     if not os.path.isdir("/root/testdata/sf0.001"):
         pytest.skip("no tables here")
     catalogue.QUERIES["invert_curves"](spark, "/root/testdata/sf0.001")
-    assert asked["wave"] == "rayleigh"
+    assert asked == {"runs": 5, "particles": 20, "steps": 1500, "layers": 5, "wave": "rayleigh"}
     layers = catalogue.models_of(spark, "/root/testdata/sf0.001")
     assert catalogue.QUERIES["sensitivity"](spark, "/root/testdata/sf0.001").select("model").distinct().count() == layers.select("model").distinct().count()
 

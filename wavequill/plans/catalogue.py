@@ -734,7 +734,8 @@ def smooth_section(spark, sf):
 @query()
 def invert_curves(spark, sf):
     curves = imaging.regularise(picks(spark, sf).select("dist", "f", "v"), 1.0, 9.0, 2.0).select(F.col("dist").alias("station"), "f", "v")
-    return rounded(inversion.invert(curves, [(2, 20, 60, 200), (5, 40, 120, 300), (0, 0, 200, 600)], runs=1, particles=6, steps=2, wave="rayleigh"))
+    layers = [(5, 20, 100, 400), (10, 30, 200, 550), (15, 40, 300, 650), (15, 35, 400, 800), (50, 100, 500, 950)]
+    return rounded(inversion.invert(curves, [(*x, 0.32, 0.34) for x in layers], runs=5, particles=20, steps=1500, wave="rayleigh"))
 
 
 @query()
