@@ -47,3 +47,13 @@ def test_copies_keep_one(spark, sf):
     docs = spark.createDataFrame([(i, text if i < 5 else f"{text} and {i} more {i}x" if i < 8 else f"other {i} text", "en", "s", 1) for i in range(10)], "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(r["doc_id"] for r in pipeline.without_near_duplicates(spark, docs, sf).collect()) == [0, 8, 9]
     assert docs.where(F.col("doc_id") < 0).count() == 0
+
+
+def test_repeated_rows_keep_one(spark, sf):
+    text = " ".join(f"word{i}" for i in range(80))
+    rows = [(1, text, "en", "s", 1)] * 3 + [(2, text, "en", "s", 1), (3, "other words", "en", "s", 1), (3, "more words", "en", "s", 1), (4, None, "en", "s", 1), (4, None, "en", "s", 1), (6, "alone", "en", "s", 1)]
+    rows += [(None, "no number", "en", "s", 1)] * 2 + [(None, "no number", "de", "s", 1), (None, None, None, None, None), (None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = [tuple(r) for r in pipeline.without_near_duplicates(spark, docs, sf).collect()]
+    want = [rows[0], (3, "more words", "en", "s", 1), rows[6], (6, "alone", "en", "s", 1), (None, "no number", "en", "s", 1), (None, "no number", "de", "s", 1), (None,) * 5]
+    assert sorted(got, key=str) == sorted(want, key=str)

@@ -212,7 +212,7 @@ def link(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """One row of docs, all columns, for each group of near duplicates: that of the least doc_id. What has no words stays."""
+    """The rows of docs, all columns, of the least doc_id of each group of near duplicates: all, if they repeat. What has no words stays."""
     found = link(docs, size, percent).where(F.col("component_id").isNotNull() & (F.col("component_id") != F.col("doc_id")))
     gone = stage(found.select(F.col("doc_id").alias("_gone")).distinct(), "gone")
     return docs.join(small(gone), F.col("doc_id") == F.col("_gone"), "left_anti")
