@@ -1,9 +1,13 @@
 """N-gram Jaccard join: parity sketches, pigeonholed in chunks per size band, then exact comparison; and its components.
 
-Copies of a set of shingles become one class. Classes that agree in a chunk meet by its key. Each key's classes are compared
-with the least of them first, so that a large group of near copies costs a comparison a member and not a pair; links found
-are made into components, and only classes of a key that are then still in different components are compared further:
-by their sketches, block against block of at most about MEMBERS, and exactly where these allow it.
+Copies of a set of shingles become one class. Classes that agree in a chunk meet by its key. Similar ones agree in more than
+one chunk: how many a class needs follows from its size. So of the keys that others have too, a class that has fewer than it
+needs drops out, and of the others it can do without its most frequent ones, one less than it needs (a prefix by rarity).
+
+Each key's classes are compared with the least of them first, so that a large group of near copies costs a comparison a
+member and not a pair; links found are made into components, and only classes of a key that are then still in different
+components are compared further: by their sketches, block against block of at most about MEMBERS, and exactly where these
+allow it.
 
 Shingles that very many documents have, of passages that they share, stay out of the keys: unlike documents would meet by
 them. Which are left out has no effect on the result, only on its cost.
@@ -18,66 +22,96 @@ from pyspark.sql.window import Window
 
 from .common import small, stage, unstage
 from .components import components
-from .shingles import Bands, Hot, close_pairs, keys, shingle_sets, signature, similar, sketch, sketches_allow
-
+from .shingles import Bands, Hot, close_pairs, keys_of, shingle_sets, signatures, similar, sketch, sketches_allow
 
-#: Share of the documents (and how many at least) that have a hot shingle. There are fewer hot ones than an average document
-#: has shingles, divided by the half of that share, so the list is small however many documents there are.
-HOT_SHARE, HOT_LEAST = 0.002, 10
+#: Share of the documents (and how many at least) that have a hot shingle, and how many hot ones are used (the most frequent).
+HOT_SHARE, HOT_LEAST, HOT_MOST = 0.002, 10, 1 << 20
 #: Members of a key that are compared in one task at once, about.
 MEMBERS = 256
+#: Bytes of text, about, that a worker holds the shingles of; a longer text is held alone.
+PART = 1 << 22
 
 
 def _raw(batch) -> list[bytes]:
     return [t.encode("utf-8", "replace") if t else b"" for t in batch.column("text").to_pylist()]
 
 
-def _signed(v: int) -> int:
-    return v - (1 << 64) if v >= 1 << 63 else v
+def _signed(x: np.ndarray):
+    import pyarrow as pa
+
+    return pa.array(x.view(np.int64), pa.int64())
 
 
 def _parts(batch, size: int = 512):
-    """Slices of an Arrow batch, so that a worker holds few texts at once."""
+    """Slices of an Arrow batch, so that a worker holds few rows at once."""
     for at in range(0, batch.num_rows, size):
         yield batch.slice(at, size)
 
 
-def _hot(docs: DataFrame, size: int) -> np.ndarray:
-    """The hashes of hot shingles, sorted. Counted where they are frequent, in each batch of documents, and added up."""
+def _texts(batches):
+    """Slices of Arrow batches with about PART bytes of text each."""
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 64
+        part = np.cumsum(sizes) // PART
+        cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if b > a:
+                yield batch.slice(a, b - a)
+
+
+def _measured(docs: DataFrame, size: int) -> DataFrame:
+    """doc_id, n, s1, s2 for every row of docs; and rows with h and c: a shingle that is frequent in a part of docs, and how often."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
-            seen = [np.concatenate([np.zeros(0, np.uint64), *shingle_sets(_raw(p), size)]) for p in _parts(batch)]
-            hashes, n = np.unique(np.concatenate(seen), return_counts=True) if seen else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            often = n >= max(3, HOT_SHARE * batch.num_rows)
-            yield pa.RecordBatch.from_arrays([pa.array(hashes[often].view(np.int64), pa.int64()), pa.array(n[often].astype(np.int64), pa.int64())], names=["h", "n"])
+        names = ["doc_id", "n", "s1", "s2", "h", "c"]
+        none = lambda n: pa.nulls(n, pa.int64())
+        for batch in _texts(batches):
+            sets = shingle_sets(_raw(batch), size)
+            n = batch.num_rows
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), *map(_signed, signatures(sets)), none(n), none(n)], names=names)
+            hashes, c = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_counts=True)
+            often = c >= max(3, HOT_SHARE * n)
+            if often.any():
+                k = int(often.sum())
+                yield pa.RecordBatch.from_arrays([pa.nulls(k, batch.column("doc_id").type), none(k), none(k), none(k), _signed(hashes[often]), pa.array(c[often].astype(np.int64))], names=names)
 
-    least = max(HOT_LEAST, HOT_SHARE / 2 * docs.count())
-    rows = docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("h").toArrow()
-    return np.sort(rows.column("h").to_numpy().astype(np.int64).view(np.uint64))
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, s1 long, s2 long, h long, c long")
 
 
-def _keyed(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """doc_id, n, s1, s2, keys for every row of docs."""
-    hashes = docs.sparkSession.sparkContext.broadcast(_hot(docs, size))
+def _keyed(docs: DataFrame, size: int, percent: int, hot: np.ndarray) -> DataFrame:
+    """doc_id, s1, s2, keys, needs for every row of docs: see keys_of()."""
+    hashes = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches):
         import pyarrow as pa
 
-        bands, hot = Bands(percent), Hot(hashes.value)
-        for batch in (p for b in batches for p in _parts(b)):
+        bands, warm = Bands(percent), Hot(hashes.value)
+        for batch in _texts(batches):
             sets = shingle_sets(_raw(batch), size)
-            signed = [tuple(map(_signed, signature(s))) for s in sets]
-            mine = [np.concatenate([keys(s, x, hot.cold(s)) for x in bands.of(len(s))]) if len(s) else s for s in sets]
+            mine, needs = keys_of(sets, bands, warm)
             ends = np.concatenate([[0], np.cumsum([len(k) for k in mine])]).astype(np.int32)
-            flat = pa.array(np.concatenate([np.zeros(0, np.uint64), *mine]).view(np.int64), pa.int64())
-            columns = [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([a for a, _ in signed], pa.int64()), pa.array([b for _, b in signed], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), flat)]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "s1", "s2", "keys"])
+            flat = _signed(np.concatenate([np.zeros(0, np.uint64), *mine]))
+            four = pa.ListArray.from_arrays(pa.array(np.arange(0, 4 * len(sets) + 1, 4, dtype=np.int32)), pa.array(needs.ravel(), pa.int16()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(_signed, signatures(sets)), pa.ListArray.from_arrays(pa.array(ends), flat), four], names=["doc_id", "s1", "s2", "keys", "needs"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, s1 long, s2 long, keys array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, s1 long, s2 long, keys array<long>, needs array<short>")
+
+
+def _meeting(shared: DataFrame) -> DataFrame:
+    """key, doc_id, leader, members of shared (key, doc_id, need, members): what is left once classes that share fewer keys than
+    they need are gone, twice, and each of the others is without its most frequent keys, one less than it needs."""
+    of_key, of_doc = Window.partitionBy("key"), Window.partitionBy("doc_id", F.col("key").bitwiseAND(F.lit(3)))
+    rows = shared.withColumn("need", F.min("need").over(of_doc)).withColumn("has", F.count("*").over(of_doc)).where("has >= need")
+    rows = rows.withColumn("members", F.count("*").over(of_key)).where("members > 1")
+    rows = rows.withColumn("has", F.count("*").over(of_doc)).where("has >= need").withColumn("place", F.row_number().over(of_doc.orderBy("members", "key")))
+    rows = rows.where(F.col("place") <= F.col("has") - F.col("need") + 1).select("key", "doc_id")
+    return rows.withColumn("members", F.count("*").over(of_key)).withColumn("leader", F.min("doc_id").over(of_key)).where("members > 1")
 
 
 def _with_sets(docs: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataFrame:
@@ -87,7 +121,7 @@ def _with_sets(docs: DataFrame, nodes: DataFrame, size: int, percent: int) -> Da
         import pyarrow as pa
 
         bands = Bands(percent)
-        for batch in (p for b in batches for p in _parts(b)):
+        for batch in _texts(batches):
             sets = shingle_sets(_raw(batch), size)
             made = [[sketch(s, x).tobytes() for x in bands.of(len(s))] if len(s) else [] for s in sets]
             columns = [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([bands.of(max(1, len(s)))[0].number for s in sets], pa.int32()), pa.array([m[0] if m else None for m in made], pa.binary()), pa.array([m[1] if len(m) > 1 else None for m in made], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())]
@@ -139,12 +173,12 @@ def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _across(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of members of a key, of different components, whose sketches allow that they are similar.
 
-    open_: key, doc_id, n, root. A key's members are dealt to blocks by hash, and two blocks meet in a row of their own.
+    open_: key, doc_id, root. A key's members are dealt to blocks by hash, and two blocks meet in a row of their own.
     """
     size = open_.groupBy("key").agg(F.ceil(F.count("*") / MEMBERS).alias("blocks"))
     block = F.pmod(F.xxhash64("doc_id"), F.col("blocks"))
     mine = F.when(F.col("key").bitwiseAND(F.lit(1)) == F.col("band") % 2, F.col("own")).otherwise(F.col("above"))
-    dealt = open_.join(size, "key").join(sets.select("doc_id", "band", "own", "above"), "doc_id").select("key", block.alias("block"), F.struct("doc_id", "n", "root", mine.alias("sketch"), block.alias("block")).alias("m"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    dealt = open_.join(size, "key").join(sets.select("doc_id", "n", "band", "own", "above"), "doc_id").select("key", block.alias("block"), F.struct("doc_id", "n", "root", mine.alias("sketch"), block.alias("block")).alias("m"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
     cells = dealt.groupBy("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).agg(F.collect_list("m").alias("members"))
 
     def run(batches):
@@ -174,45 +208,66 @@ def link(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     Sets are compared by 64-bit hashes of shingles, and copies found by 128 bits of the set.
     """
     docs = docs.select("doc_id", "text")
-    keyed = stage(_keyed(docs, size, percent), "keyed")
-    base = stage(keyed.drop("keys"), "documents")
-    has_words = (F.col("n") > 0) & F.col("doc_id").isNotNull()
-    known = base.where(has_words)
+    measured = stage(_measured(docs, size), "measured")
+    base = measured.where("h is null").select("doc_id", "n", "s1", "s2")
+    least = max(HOT_LEAST, HOT_SHARE / 2 * base.count())
+    hot = measured.where("h is not null").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= least).orderBy(F.desc("c"), "h").limit(HOT_MOST).select("h").toArrow()
+    hot = np.sort(hot.column("h").to_numpy().astype(np.int64).view(np.uint64))
+    known = base.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
     copies = stage(known.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")).where("c > 1").drop("c"), "copies")
     n_copies = copies.count()
     of_class = lambda rows: rows.join(small(copies, n_copies), ["s1", "s2"], "left").withColumn("rep", F.coalesce("rep", "doc_id"))
-    classed = of_class(known)
     # A class has a row for each of its keys, so no key can hold more than a fraction of all rows.
-    rows = of_class(keyed.where(has_words)).where("rep = doc_id").select("doc_id", "n", F.explode("keys").alias("key"))
-    of_key = Window.partitionBy("key")
-    met = rows.withColumn("leader", F.min("doc_id").over(of_key)).withColumn("members", F.count("*").over(of_key))
-    shared = stage(met.where("members > 1").select("key", "doc_id", "n", "leader", "members"), "shared")
-    unstage(keyed)
-    star = stage(shared.where("doc_id <> leader").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct(), "star")
+    rows = of_class(_keyed(docs, size, percent, hot).where(F.col("doc_id").isNotNull())).where("rep = doc_id").select("doc_id", "needs", F.explode("keys").alias("key"))
+    rows = rows.select("key", "doc_id", F.get("needs", F.col("key").bitwiseAND(F.lit(3)).cast("int")).alias("need"))
+    shared = shared_table = stage(rows.withColumn("members", F.count("*").over(Window.partitionBy("key"))).where("members > 1"), "shared")
+    if known.groupBy("doc_id").count().where("count > 1").limit(1).count():
+        shared = shared.groupBy("key", "doc_id").agg(F.min("need").alias("need"), F.max("members").alias("members"))
+    met = stage(_meeting(shared), "met")
+    star = stage(met.where("doc_id <> leader").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct(), "star")
     nodes = stage(star.select(F.col("a").alias("doc_id")).unionByName(star.select(F.col("b").alias("doc_id"))).distinct(), "nodes")
     sets = _with_sets(docs, nodes, size, percent)
     links = stage(_similar(_allowed(star, sets, percent), sets, percent), "links")
     roots = stage(components(links), "roots")
-    others = shared.where((F.col("members") > 2) & (F.col("doc_id") != F.col("leader"))).join(roots, F.col("doc_id") == F.col("node"), "left")
-    others = others.select("key", "doc_id", "n", F.coalesce("root", "doc_id").alias("root"))
+    others = met.where((F.col("members") > 2) & (F.col("doc_id") != F.col("leader"))).join(roots, F.col("doc_id") == F.col("node"), "left")
+    others = others.select("key", "doc_id", F.coalesce("root", "doc_id").alias("root"))
     # Documents that share a passage meet by many keys; one of all keys with the same members is enough.
-    member = F.xxhash64("doc_id", "n")
+    member = F.xxhash64("doc_id")
     same_members = {"m1": F.count("*"), "m2": F.bit_xor(member), "m3": F.sum(F.hash(F.lit(1), member).cast("long")), "m4": F.sum(F.hash(F.lit(2), member).cast("long"))}
     of_keys = others.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), *[c.alias(n) for n, c in same_members.items()])
     mixed = of_keys.where("x <> y").groupBy(*same_members).agg(F.min("key").alias("key")).select("key")
     open_ = stage(others.join(mixed, "key", "left_semi"), "open")
     more = stage(_similar(stage(_across(open_, sets, percent), "across"), sets, percent), "links")
-    unstage(shared, open_, sets)
+    unstage(shared_table, met, open_, sets, star, nodes)
     if more.count():
         roots = stage(components(links.unionByName(more)), "roots")
-    named = classed.select(F.col("doc_id").alias("_doc"), "rep").join(roots, F.col("rep") == F.col("node"), "left")
+    named = of_class(known).select(F.col("doc_id").alias("_doc"), "rep").join(roots, F.col("rep") == F.col("node"), "left")
     ids = named.groupBy("_doc").agg(F.min(F.coalesce("root", "rep")).alias("component"))
     sizes = base.select("doc_id", F.col("n").alias("n_shingles"))
     return sizes.join(ids, F.col("doc_id") == F.col("_doc"), "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def deduplicated(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs, all columns, of the least doc_id of each group of near duplicates: all, if they repeat. What has no words stays."""
+    """One row of docs, all columns, for each group of near duplicates: of the least doc_id, and of its rows the least by text
+    and then by the columns as they come (null first). What has no words stays, one row for each doc_id too. Of equal rows
+    without doc_id one stays. Empty tables give no rows. Texts are only moved of rows that repeat.
+    """
     found = link(docs, size, percent).where(F.col("component_id").isNotNull() & (F.col("component_id") != F.col("doc_id")))
     gone = stage(found.select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    return docs.join(small(gone), F.col("doc_id") == F.col("_gone"), "left_anti")
+    return _one_row_each(docs.join(small(gone), F.col("doc_id") == F.col("_gone"), "left_anti"))
+
+
+def _one_row_each(docs: DataFrame) -> DataFrame:
+    """One row for each doc_id, and one of equal rows without: see deduplicated()."""
+    names = docs.columns
+    nameless = F.concat(F.lit("row "), F.sha2(F.to_json(F.struct(*names), {"ignoreNullFields": "false"}), 256))
+    keyed = docs.withColumn("_wq_key", F.coalesce(F.concat(F.lit("id "), F.col("doc_id").cast("string")), nameless))
+    often = stage(keyed.groupBy("_wq_key").agg(F.count("*").alias("c")).where("c > 1").select(F.col("_wq_key").alias("_wq_often")), "often")
+    n = often.count()
+    if not n:
+        return docs
+    meets = F.col("_wq_key") == F.col("_wq_often")
+    row = F.struct("text", *[c for c in names if c != "text"])
+    least = keyed.join(small(often, n), meets, "left_semi").groupBy("_wq_key").agg(F.min(row).alias("_wq_row"))
+    once = keyed.join(small(often, n), meets, "left_anti").select(*names)
+    return once.unionByName(least.select(*[F.col("_wq_row")[c].alias(c) for c in names]))

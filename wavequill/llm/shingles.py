@@ -31,10 +31,15 @@ def shingle_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
     return out
 
 
-def signature(s: np.ndarray) -> tuple[int, int]:
-    """128 bits that stand for the set."""
-    one = int(np.bitwise_xor.reduce(mix(s + U(1)))) if len(s) else 0
-    two = int(mix(s + U(2)).sum(dtype=np.uint64))
+def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits that stand for each set, as two arrays; zeros for empty ones."""
+    one, two = np.zeros(len(sets), np.uint64), np.zeros(len(sets), np.uint64)
+    full = np.flatnonzero([len(s) for s in sets])
+    if len(full):
+        flat = np.concatenate([sets[i] for i in full])
+        begins = np.cumsum([0, *(len(sets[i]) for i in full[:-1])])
+        one[full] = np.bitwise_xor.reduceat(mix(flat + U(1)), begins)
+        two[full] = np.add.reduceat(mix(flat + U(2)), begins)
     return one, two
 
 
@@ -98,35 +103,69 @@ class Bands:
         own, above = self.scheme(t), self.scheme(t + 1)
         return [own, above] if 100 * n >= self.percent * above.lo else [own]
 
+    def apart(self, n: int, scheme: Scheme) -> int:
+        """In how many shingles at most a set of n differs from a similar one whose scheme with it is this."""
+        other = min(scheme.hi - 1, n * 100 // self.percent)
+        return (n + other) * (100 - self.percent) // (100 + self.percent)
 
-def _chunk(s: np.ndarray, scheme: Scheme) -> np.ndarray:
-    salt = mix(np.full(1, scheme.number + 1, np.uint64))
-    return ((mix(s ^ salt) >> U(32)) * U(scheme.chunks) >> U(32)).astype(np.int64)
 
+def _chunk(s: np.ndarray, number, chunks) -> np.ndarray:
+    """The chunk of each shingle in a scheme of this number and so many chunks."""
+    salt = mix(np.asarray(number, np.uint64) + U(1))
+    return ((mix(s ^ salt) >> U(32)) * np.asarray(chunks, np.uint64) >> U(32)).astype(np.int64)
 
-def _chunk_keys(s: np.ndarray, scheme: Scheme, space: int) -> tuple[np.ndarray, np.ndarray]:
-    """(a key for each chunk, which chunks are empty): the XOR of the hashes in it, so that equal parts have equal keys."""
-    chunk = _chunk(s, scheme)
-    xor = np.zeros(scheme.chunks, np.uint64)
-    np.bitwise_xor.at(xor, chunk, s)
-    place = (np.arange(scheme.chunks, dtype=np.uint64) << U(16)) + U(2 * scheme.number + space)
-    # The last bit tells the scheme from its neighbours, of which a set has keys too.
-    key = (mix(mix(xor) + mix(place)) & ~U(1)) | U(scheme.number & 1)
-    return key, np.bincount(chunk, minlength=scheme.chunks) == 0
 
+def _chunk_keys(s: np.ndarray, doc: np.ndarray, chunks: np.ndarray, numbers: np.ndarray, space: int):
+    """(keys, empty, begins): a key for each chunk of each set, the XOR of the hashes in it, so that equal parts have equal keys.
 
-def keys(s: np.ndarray, scheme: Scheme, cold: np.ndarray) -> np.ndarray:
-    """The keys of a set: of its cold shingles' chunks, and where too many of these are empty of all shingles' as well.
+    s: the shingles of all sets, and doc: which set each is of. The keys of set i begin at begins[i].
+    """
+    begins = np.concatenate([[0], np.cumsum(chunks)])
+    slot = begins[doc] + _chunk(s, numbers[doc], chunks[doc])
+    xor = np.zeros(begins[-1], np.uint64)
+    np.bitwise_xor.at(xor, slot, s)
+    of = np.repeat(np.arange(len(chunks)), chunks)
+    place = ((np.arange(begins[-1]) - begins[of]).astype(np.uint64) << U(16)) + U(2) * numbers[of].astype(np.uint64) + U(space)
+    # The last two bits tell the scheme from its neighbours, of which a set has keys too, and the space.
+    key = (mix(mix(xor) + mix(place)) & ~U(3)) | (numbers[of].astype(np.uint64) & U(1)) | U(2 * space)
+    return key, np.bincount(slot, minlength=begins[-1]) == 0, begins
+
+
+def keys_of(sets: list[np.ndarray], bands: Bands, hot: Hot) -> tuple[list[np.ndarray], np.ndarray]:
+    """(the keys of each set, needs): of its cold shingles' chunks, and where too many of these are empty of all shingles' too.
 
     Leaving out the same shingles everywhere never adds to a difference, so what holds for whole sets holds for their cold
     parts. Two similar sets meet in a chunk of cold shingles if either has enough of them, else both have the other keys.
+    needs[i, g]: of its keys k with k & 3 = g, a set shares so many at least with every similar set that it meets by them.
     """
-    key, empty = _chunk_keys(s[cold], scheme, 0)
-    found = key[~empty]
-    if empty.sum() <= scheme.spare:
-        return found
-    key, empty = _chunk_keys(s, scheme, 1)
-    return np.concatenate([found, key if empty.sum() > scheme.spare else key[~empty]])
+    found, needs = [[] for _ in sets], np.ones((len(sets), 4), np.int16)
+    if not any(map(len, sets)):
+        return [np.zeros(0, np.uint64) for _ in sets], needs
+    flat, doc = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    cold = hot.cold(flat)
+    schemes = [bands.of(len(s)) if len(s) else [] for s in sets]
+    for which in (0, 1):
+        at = [i for i, x in enumerate(schemes) if len(x) > which]
+        for space in (0, 1):
+            if not at:
+                break
+            place = np.full(len(sets), -1)
+            place[at] = np.arange(len(at))
+            mine = (place[doc] >= 0) & (cold if space == 0 else True)
+            chosen = [schemes[i][which] for i in at]
+            chunks, numbers = np.array([x.chunks for x in chosen]), np.array([x.number for x in chosen])
+            key, empty, begins = _chunk_keys(flat[mine], place[doc[mine]], chunks, numbers, space)
+            few = []
+            for i, scheme, a, b in zip(at, chosen, begins, begins[1:], strict=False):
+                k, e = key[a:b], empty[a:b]
+                missing = int(e.sum())
+                g = (scheme.number & 1) | 2 * space
+                needs[i, g] = min(32767, max(1, scheme.chunks - bands.apart(len(sets[i]), scheme) - missing))
+                if missing > scheme.spare:
+                    few.append(i)
+                found[i].append(k if space and missing > scheme.spare else k[~e])
+            at = few
+    return [np.concatenate([np.zeros(0, np.uint64), *f]) for f in found], needs
 
 
 class Hot:
@@ -148,7 +187,7 @@ class Hot:
 def sketch(s: np.ndarray, scheme: Scheme) -> np.ndarray:
     """16 bits a chunk; each shingle flips one. The Hamming distance of two is at most the symmetric difference of the sets."""
     words = np.zeros(scheme.chunks, np.uint16)
-    np.bitwise_xor.at(words, _chunk(s, scheme), (U(1) << (s & U(15))).astype(np.uint16))
+    np.bitwise_xor.at(words, _chunk(s, scheme.number, scheme.chunks), (U(1) << (s & U(15))).astype(np.uint16))
     return words
 
 
