@@ -25,25 +25,13 @@ def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return kept.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
-def _one_row_each(docs: DataFrame) -> DataFrame:
-    """One row for each doc_id, the least by text and the columns after it; of rows without doc_id one for each that are equal.
+def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of documents that is linked by a similarity of 0.8 and more of five-word shingles.
 
-    Texts are only moved of rows that repeat.
+    Null and blank texts are linked with nothing and stay. Rows that repeat a doc_id, and equal rows without one, keep one.
+    The least doc_id stays of a group. Empty tables give no rows.
     """
-    nameless = F.concat(F.lit("row "), F.sha2(F.to_json(F.struct(*COLUMNS), {"ignoreNullFields": "false"}), 256))
-    keyed = docs.select("*", F.coalesce(F.concat(F.lit("id "), F.col("doc_id").cast("string")), nameless).alias("_key"))
-    often = stage(keyed.groupBy("_key").agg(F.count("*").alias("_n")).where("_n > 1").select(F.col("_key").alias("_often")), "often")
-    n = often.count()
-    if not n:
-        return docs
-    meets = F.col("_key") == F.col("_often")
-    least = keyed.join(small(often, n), meets, "left_semi").groupBy("_key").agg(F.min(F.struct("text", *[c for c in COLUMNS if c != "text"])).alias("_row"))
-    return keyed.join(small(often, n), meets, "left_anti").select(*COLUMNS).unionByName(least.select(*[F.col(f"_row.{c}").alias(c) for c in COLUMNS]))
-
-
-def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that is linked by a similarity of 0.8 and more of five-word shingles."""
-    return _one_row_each(near_duplicates.deduplicated(docs.select(*COLUMNS), size=5, percent=80))
+    return near_duplicates.deduplicated(docs.select(*COLUMNS), size=5, percent=80)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
