@@ -75,13 +75,15 @@ def counts(text):
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(repeated)
 
 
-def without_boilerplate(docs, ratio, least):
-    """Texts of docs [(source, text)] without lines that are on many of the source's pages."""
-    pages, on = Counter(s for s, _ in docs), Counter()
+def without_boilerplate(docs, ratio):
+    """Texts of docs [(source, text)] without lines that other pages of the source have, over ratio of its different texts."""
+    blanks, pages, on = " \t\n\x0b\f\r", defaultdict(set), defaultdict(set)
     for s, t in docs:
-        on.update({(s, x.strip(" ")) for x in (t or "").split("\n") if x.strip(" ")})
-    bad = {k for k, n in on.items() if n >= least and n > ratio * pages[k[0]]}
-    return [None if t is None else "\n".join(x for x in t.split("\n") if (s, x.strip(" ")) not in bad) for s, t in docs]
+        pages[s].add(t or "")
+        for x in (t or "").split("\n"):
+            on[s, x.strip(blanks)].add(t)
+    bad = {(s, x) for (s, x), n in on.items() if x and len(n) - 1 > ratio * len(pages[s])}
+    return [None if t is None else "\n".join(x for x in t.split("\n") if (s, x.strip(blanks)) not in bad) for s, t in docs]
 
 
 def targets(sizes, weights=(5, 2, 1)):

@@ -20,7 +20,7 @@ def test_stages_are_plain_python(spark, sf):
         raw = (text or "").encode()
         if any(map(str.isalpha, text or "")) and gru.pooled(model, [raw]).max() >= language.LEAST_SCORE:
             kept.append((i, text, source))
-    cut = brute.without_boilerplate([(s, t) for _, t, s in kept], line_dedup.RATIO, line_dedup.MIN_PAGES)
+    cut = brute.without_boilerplate([(s, t) for _, t, s in kept], line_dedup.RATIO)
     kept = [(i, t, s) for (i, _, s), t in zip(kept, cut, strict=True)]
     root = brute.components({i: t for i, t, _ in kept}, 5, 80)
     kept = [d for d in kept if root[d[0]] == d[0]]

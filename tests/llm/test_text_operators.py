@@ -8,7 +8,7 @@ from conftest import ROWS, with_clashes
 from pyspark.sql import functions as F
 
 import compare
-from wavequill.llm import chat, decontaminate, gru, language, line_dedup, mixing, near_duplicates, quality, queries, secrets, toxicity, url_filter
+from wavequill.llm import chat, common, decontaminate, gru, language, line_dedup, mixing, near_duplicates, quality, queries, secrets, toxicity, url_filter
 from wavequill.llm.components import components
 from wavequill.llm.hashing import BY_LETTER, BY_SPACE, word_hashes
 from wavequill.llm.shingles import Bands, Hot, close_pairs, keys_of, shingle_sets, similar, sketch, sketches_allow
@@ -514,23 +514,47 @@ def test_ledger(spark):
 
 
 def test_lines(spark, odd, none):
-    rng, lines = random.Random(7), ["Menu", " Menu ", "About us", "", "  ", "Copyright"]
+    rng, lines = random.Random(7), ["Menu", " Menu ", "Menu\r", "\tMenu", "About us", "", "  ", "Copyright"]
     docs = [(i, "\n".join(rng.choices(lines, k=3) + [f"own line {i}"]) if i % 9 else None, rng.choice(["a", "b", None])) for i in range(120)]
+    docs += [(200 + i, docs[i][1], docs[i][2]) for i in range(30)]
     df = with_clashes(spark.createDataFrame(docs, "doc_id long, text string, source string"))
-    got = line_dedup.drop_lines(df, 0.5, 5)
+    got = line_dedup.drop_lines(df, 0.5)
     assert set(got.columns) == {*df.columns, "n_lines", "n_dropped"}
-    want = brute.without_boilerplate([(s, t) for _, t, s in docs], 0.5, 5)
-    assert rows_of(got, "doc_id", "text") == [(i, t) for i, t in enumerate(want)]
+    want = brute.without_boilerplate([(s, t) for _, t, s in docs], 0.5)
+    assert rows_of(got, "doc_id", "text") == [(i, t) for (i, _, _), t in zip(docs, want, strict=True)]
     assert want != [t for _, t, _ in docs]
-    assert rows_of(line_dedup.drop_lines(odd), "doc_id", "text") == ordered([(r[0], r[1]) for r in ROWS])
+    want = brute.without_boilerplate([(r[3], r[1]) for r in ROWS], line_dedup.RATIO)
+    assert rows_of(line_dedup.drop_lines(odd), "doc_id", "text") == ordered([(r[0], t) for r, t in zip(ROWS, want, strict=True)])
     assert line_dedup.drop_lines(none).count() == 0
 
 
 def test_lines_at_production_parameters(spark):
-    """What goes and what stays, as README says: the share of a site's pages decides, not the number of documents."""
+    """The share of a site's other pages decides, however many pages there are; copies of a page don't count."""
     long = " ".join(f"word{i}" for i in range(60))
-    shared = lambda i: ["On 11 of 100"] * (i < 11) + ["On 10 of 100"] * (i < 10) + [long] * (i < 5)
+    shared = lambda i: ["On 4 of 100"] * (i < 4) + ["On 3 of 100"] * (i < 3) + [long] * (i < 5)
     docs = [(100 * s + i, "\n".join([f"own line {s} {i}", *shared(i)]), f"s{s}") for s in range(3) for i in range(100)]
-    docs += [(1000 + i, f"own line {i}\nOn all pages of a small site", "small") for i in range(4)]
+    docs += [(1000 + i, f"own line {i}\r\nOn all pages of a small site\r" if i % 2 else f"own line {i}\n On all pages of a small site", "small") for i in range(4)]
+    docs += [(2000, "The only page\nThe only page", "one")] + [(3000 + i, "Copies\nof one page", "copies") for i in range(4)]
     got = {r["doc_id"]: r["text"] for r in line_dedup.drop_lines(spark.createDataFrame(docs, "doc_id long, text string, source string")).collect()}
-    assert got == {i: "\n".join(x for x in t.split("\n") if x != "On 11 of 100") for i, t, _ in docs}
+    gone = {"On 4 of 100", long, "On all pages of a small site"}
+    assert got == {i: "\n".join(x for x in t.split("\n") if x.strip() not in gone) for i, t, _ in docs}
+
+
+def test_broadcasts_are_checked_by_bytes(spark, monkeypatch):
+    table = common.stage(spark.range(1000), "numbers")
+    assert "broadcast" in common.small(table)._jdf.queryExecution().toString().lower()
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 10)
+    assert common.small(table) is table
+    common.unstage(table)
+
+
+def test_no_local_folder_on_a_cluster(spark):
+    class Session:
+        class conf:  # noqa: N801
+            get = staticmethod(lambda key, default=None: None)
+
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+
+    with pytest.raises(ValueError, match="share"):
+        common.shared_dir(Session)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -17,8 +18,8 @@ SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 DELIMITER = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
-#: No table of more rows than this is broadcast; beyond it the same join shuffles, or runs in blocks.
-BROADCAST_ROWS = 1_000_000
+#: No table of more rows than this is broadcast, nor a staged one of more bytes; beyond it the same join shuffles, or runs in blocks.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 32 << 20
 
 #: Spark's setting by which the shuffle files of a query are removed at its end, and not when the driver collects garbage.
 SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -42,9 +43,14 @@ def split_words(text: Column, delimiter: str = SPACE) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it; a temporary one where it names none (tests)."""
+    """The folder that driver and executors share, as the session names it.
+
+    Where it names none, a temporary one of this machine if executors run in the driver (tests), else an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^,\]]*(,[^\]]*)?\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="wavequill-")
         atexit.register(shutil.rmtree, found, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", found)
@@ -78,6 +84,11 @@ def _delete(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def _bytes(spark: SparkSession, folder: str) -> int:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+
+
 def unstage(*tables: DataFrame) -> None:
     """Removes tables that stage() returned, once all that reads them is staged itself."""
     for df in tables:
@@ -90,7 +101,10 @@ def clean(spark: SparkSession) -> None:
 
 
 def small(df: DataFrame, rows: int | None = None, bound: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has no more than bound rows (narrow ones), else as it is: then the join shuffles."""
+    """df with a broadcast hint if it has no more than bound rows, and no more than BROADCAST_BYTES where it is a staged table;
+    else as it is: then the join shuffles. Tables with arrays or texts have to be staged ones."""
+    if hasattr(df, "staged_at") and _bytes(df.sparkSession, df.staged_at) > BROADCAST_BYTES:
+        return df
     return F.broadcast(df) if (df.count() if rows is None else rows) <= bound else df
 
 
