@@ -325,7 +325,7 @@ def test_factorization_machine_learns_pairs():
     rng = np.random.default_rng(1)
     rows = [np.unique(rng.choice(40, 6)) for _ in range(4000)]
     y = np.array([1.0 if {3, 7} <= set(r) else 0.0 for r in rows], np.float32)
-    model = toxicity.train([r.astype(np.int32) for r in rows], y)
+    model = toxicity.train(np.arange(40, dtype=np.int32), [r.astype(np.int32) for r in rows], y)
     w, v, at = model["weights"], model["factors"], {int(t): i for i, t in enumerate(model["terms"])}
     score = lambda r: model["bias"] + sum(w[at[t]] for t in r) + sum(v[at[a]] @ v[at[b]] for i, a in enumerate(r) for b in r[i + 1 :])
     both, one = np.mean([score((3, 7, k)) for k in range(10, 40)]), np.mean([max(score((3, k)), score((7, k))) for k in range(10, 40)])
@@ -333,7 +333,8 @@ def test_factorization_machine_learns_pairs():
 
 
 def test_toxicity_scores_are_the_formula(spark):
-    model = toxicity.train(toxicity._terms([b"you idiot here", b"nice words", b"idiot you", b"nice you"] * 20), np.array([1, 0, 1, 0] * 20, np.float32))
+    terms = toxicity._terms([b"you idiot here", b"nice words", b"idiot you", b"nice you"] * 20)
+    model = toxicity.train(np.unique(np.concatenate(terms)), terms, np.array([1, 0, 1, 0] * 20, np.float32))
     raw = [b"You IDIOT", b"", b"nice"]
     want = []
     for t in raw:
@@ -409,6 +410,19 @@ def test_language_of_odd_rows(odd, none):
     assert language.identify(none).count() == 0
 
 
+def test_every_language_is_learned(spark):
+    """However many there are, and of texts shorter than a window."""
+    docs = spark.createDataFrame([(i, f"text {i} in this", f"l{i % 201:03}") for i in range(4000)], "doc_id long, text string, lang string")
+    windows, classes, languages = language.sample(docs)
+    assert languages == [f"l{i:03}" for i in range(201)] == sorted(languages[c] for c in set(classes.tolist()))
+    assert all(bytes(w).startswith(b"text ") and bytes(w).count(b"in this text ") >= 2 for w in windows)
+    assert len(language.sample(docs, max_train=500)[1]) < 1000
+    rng = random.Random(1)
+    rows = [(i, "".join(rng.choices("abcdef" if i % 2 else "uvwxyz", k=rng.randint(3, 40))), "ab" if i % 2 else "uv") for i in range(600)]
+    got = language.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert all(r["lang_pred"] == ("ab" if r["doc_id"] % 2 else "uv") for r in got if r["held_out"])
+
+
 # URLs
 
 

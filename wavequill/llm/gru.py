@@ -2,7 +2,8 @@
 
 Arrays are (units, windows), so that every step is a few operations on long rows. A step, for either direction:
   a = table[:, byte];  r, z = sigmoid(a_rz + U_rz h);  n = tanh(a_n + r * (U_n h));  h = h + z * (n - h)
-Every position has logits from the states of both directions there.
+Every position has logits from the states of both directions there. Both directions begin anew in every window of WINDOW
+bytes, in training and inference alike, so a position knows its window and nothing beyond.
 """
 
 from __future__ import annotations
@@ -66,6 +67,7 @@ def probabilities(model: dict, windows: np.ndarray, lengths: np.ndarray) -> np.n
         p = model["out"][:, :n] @ kept[t][:, :m]
         p += model["out"][:, n:] @ h[:, :m]
         p += model["bias"]
+        p -= p.max(axis=0)
         np.exp(p, out=p)
         p /= p.sum(axis=0)
         total[:, :m] += p

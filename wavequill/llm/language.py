@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import gru
+from .common import small, stage
 
-#: A language's windows to learn from, about (each of a document of its own), and languages that there may be.
-PER_LANGUAGE, MAX_LANGUAGES = 1500, 200
+#: Windows to learn from, about (each of a document of its own): of a language at most, and of all languages together.
+PER_LANGUAGE, MAX_TRAIN = 1500, 400_000
 #: The pipeline's stage rejects documents without a language, and those of which the network is less sure than this.
 LEAST_SCORE = 0.4
 UNKNOWN = "und"
@@ -21,27 +22,28 @@ def held_out():
     return F.crc32(F.col("doc_id").cast("string")) % 5 == 0
 
 
-def sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[np.ndarray, np.ndarray, list[str]]:
+def sample(docs: DataFrame, per_language: int = PER_LANGUAGE, max_train: int = MAX_TRAIN) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """(windows, classes, languages): one window each of about per_language documents a language, chosen by hash.
 
-    Bounded by per_language and MAX_LANGUAGES (the most frequent); documents shorter than a window aren't learned from.
+    Every lang value of a document with a text that isn't empty is learned; with so many that max_train is exceeded, fewer
+    documents of each are. A shorter text fills its window by repeating itself.
     """
     size = F.octet_length("text")
-    known = docs.select("doc_id", "text", "lang").where(~F.coalesce(held_out(), F.lit(False)) & F.col("lang").isNotNull() & (size >= gru.WINDOW))
-    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
-    languages = sorted(r["lang"] for r in counts)
+    known = docs.select("doc_id", "text", "lang").where(~F.coalesce(held_out(), F.lit(False)) & F.col("lang").isNotNull() & (size > 0))
+    counts = stage(known.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    languages = sorted(r["lang"] for r in counts.select("lang").collect())
     if not languages:
         return np.zeros((0, gru.WINDOW), np.uint8), np.zeros(0, np.int64), []
-    share = F.lit(0.0)
-    for r in counts:
-        share = F.when(F.col("lang") == r["lang"], min(1.0, per_language / r["n"])).otherwise(share)
+    each = min(per_language, max(1, max_train // len(languages)))
+    share = F.least(F.lit(1.0), each / F.col("n"))
     h = F.xxhash64("doc_id", F.lit("sample"))
-    chosen = known.where(F.pmod(h, F.lit(1 << 20)) < share * (1 << 20)).limit(2 * per_language * len(languages))
-    at = F.pmod(F.shiftright(h, 20), F.octet_length("text") - gru.WINDOW + 1) + 1
+    chosen = known.join(small(counts, len(languages)), "lang").where(F.pmod(h, F.lit(1 << 20)) < share * (1 << 20))
+    at = F.pmod(F.shiftright(h, 20), F.greatest(size - gru.WINDOW, F.lit(0)) + 1) + 1
     raw = chosen.select("doc_id", "lang", F.substring(F.encode("text", "UTF-8"), at.cast("int"), F.lit(gru.WINDOW)).alias("w"))
-    rows = sorted((str(r["doc_id"]), r["lang"], bytes(r["w"])) for r in raw.collect())
-    windows = np.frombuffer(b"".join(w for _, _, w in rows), np.uint8).reshape(-1, gru.WINDOW)
-    return windows, np.array([languages.index(lang) for _, lang, _ in rows]), languages
+    rows = sorted((str(r["doc_id"]), r["lang"], bytes(r["w"])) for r in raw.limit(2 * each * len(languages)).collect())
+    full = [((w + b" ") * gru.WINDOW)[: gru.WINDOW] if len(w) < gru.WINDOW else w for _, _, w in rows]
+    place = {lang: i for i, lang in enumerate(languages)}
+    return np.frombuffer(b"".join(full), np.uint8).reshape(-1, gru.WINDOW), np.array([place[lang] for _, lang, _ in rows], np.int64), languages
 
 
 def predict(docs: DataFrame, model: dict | None, languages: list[str], text: str = "text", keep_text: bool = False) -> DataFrame:
@@ -79,7 +81,7 @@ def predict(docs: DataFrame, model: dict | None, languages: list[str], text: str
 def identify(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every row of docs (doc_id, text, lang).
 
-    The languages are the lang values learned; see predict() for null, empty and letterless texts. A null doc_id isn't held
+    The languages are the lang values learned, see sample(); see predict() for null, empty and letterless texts. A null doc_id isn't held
     out. Repeated rows get equal results, empty tables give no rows. Other columns are not read.
     """
     windows, classes, languages = sample(docs, per_language)
@@ -89,7 +91,11 @@ def identify(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
 
 
 def accepted(docs: DataFrame, least_score: float = LEAST_SCORE) -> DataFrame:
-    """The rows of docs, all columns, whose text has a language of which the network is sure enough."""
+    """The rows of docs, all columns, whose text has a language of which the network is sure enough.
+
+    Null, empty and letterless texts go, and all rows if nothing could be learned. Repeated rows stay or go together. Empty
+    tables give no rows.
+    """
     windows, classes, languages = sample(docs)
     model = gru.train(windows, classes, len(languages)) if languages else None
     renamed = docs.select(*[F.col(c).alias(f"in_{c}") for c in docs.columns])

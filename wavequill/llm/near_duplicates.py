@@ -22,14 +22,12 @@ from pyspark.sql.window import Window
 
 from .common import small, stage, unstage
 from .components import components
-from .shingles import Bands, Hot, close_pairs, keys_of, shingle_sets, signatures, similar, sketch, sketches_allow
+from .shingles import Bands, Hot, close_pairs, keys_of, parts, shingle_sets, signatures, similar, sketch, sketches_allow
 
 #: Share of the documents (and how many at least) that have a hot shingle, and how many hot ones are used (the most frequent).
 HOT_SHARE, HOT_LEAST, HOT_MOST = 0.002, 10, 1 << 20
 #: Members of a key that are compared in one task at once, about.
 MEMBERS = 256
-#: Bytes of text, about, that a worker holds the shingles of; a longer text is held alone.
-PART = 1 << 22
 
 
 def _raw(batch) -> list[bytes]:
@@ -48,19 +46,6 @@ def _parts(batch, size: int = 512):
         yield batch.slice(at, size)
 
 
-def _texts(batches):
-    """Slices of Arrow batches with about PART bytes of text each."""
-    import pyarrow.compute as pc
-
-    for batch in batches:
-        sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 64
-        part = np.cumsum(sizes) // PART
-        cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1), batch.num_rows]
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            if b > a:
-                yield batch.slice(a, b - a)
-
-
 def _measured(docs: DataFrame, size: int) -> DataFrame:
     """doc_id, n, s1, s2 for every row of docs; and rows with h and c: a shingle that is frequent in a part of docs, and how often."""
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -70,7 +55,7 @@ def _measured(docs: DataFrame, size: int) -> DataFrame:
 
         names = ["doc_id", "n", "s1", "s2", "h", "c"]
         none = lambda n: pa.nulls(n, pa.int64())
-        for batch in _texts(batches):
+        for batch in (p for b in batches for p in parts(b)):
             sets = shingle_sets(_raw(batch), size)
             n = batch.num_rows
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), *map(_signed, signatures(sets)), none(n), none(n)], names=names)
@@ -91,7 +76,7 @@ def _keyed(docs: DataFrame, size: int, percent: int, hot: np.ndarray) -> DataFra
         import pyarrow as pa
 
         bands, warm = Bands(percent), Hot(hashes.value)
-        for batch in _texts(batches):
+        for batch in (p for b in batches for p in parts(b)):
             sets = shingle_sets(_raw(batch), size)
             mine, needs = keys_of(sets, bands, warm)
             ends = np.concatenate([[0], np.cumsum([len(k) for k in mine])]).astype(np.int32)
@@ -121,7 +106,7 @@ def _with_sets(docs: DataFrame, nodes: DataFrame, size: int, percent: int) -> Da
         import pyarrow as pa
 
         bands = Bands(percent)
-        for batch in _texts(batches):
+        for batch in (p for b in batches for p in parts(b)):
             sets = shingle_sets(_raw(batch), size)
             made = [[sketch(s, x).tobytes() for x in bands.of(len(s))] if len(s) else [] for s in sets]
             columns = [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([bands.of(max(1, len(s)))[0].number for s in sets], pa.int32()), pa.array([m[0] if m else None for m in made], pa.binary()), pa.array([m[1] if len(m) > 1 else None for m in made], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())]

@@ -10,6 +10,20 @@ import numpy as np
 from .hashing import BY_SPACE, chunks, mix, word_hashes
 
 U = np.uint64
+#: Bytes of text, about, that a worker holds the shingles of; a longer text is held alone.
+PART = 1 << 22
+
+
+def parts(batch):
+    """Slices of an Arrow batch with about PART bytes in its column text each."""
+    import pyarrow.compute as pc
+
+    sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 64
+    part = np.cumsum(sizes) // PART
+    cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), batch.num_rows]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        if b > a:
+            yield batch.slice(a, b - a)
 
 
 def shingle_sets(texts: list[bytes], size: int) -> list[np.ndarray]:

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .hashing import BY_LETTER, chunks, word_hashes
+from .common import small, stage
 from .language import held_out
+from .shingles import parts
 
 #: Labelled documents to learn from, about; hashed terms (bits), those that are used, documents that a used one is in at least.
 MAX_TRAIN, BITS, TERMS, MIN_DOCS = 8_000, 20, 2048, 4
@@ -32,38 +34,54 @@ def _raw(batch) -> list[bytes]:
     return [t.encode("utf-8", "replace") if t else b"" for t in batch.column("text").to_pylist()]
 
 
-def sample(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> tuple[list[np.ndarray], np.ndarray]:
-    """(terms, labels) of about max_train labelled documents that aren't held out, chosen by hash."""
+def sample(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """(used terms, those of each document, labels) of about max_train labelled documents that aren't held out, chosen by hash.
+
+    Used are the TERMS terms that tell most of the labels (chi-squared). They are chosen before anything is collected, so
+    the driver gets at most TERMS numbers a document, however long the texts are.
+    """
     known = labels.select("doc_id", "toxic").where(~held_out() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     share = min(1.0, max_train / max(1, known.count()))
     chosen = known.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 20)) < int(share * (1 << 20)))
-    texts = docs.select("doc_id", "text").join(chosen, "doc_id").limit(2 * max_train)
+    texts = docs.select("doc_id", "text").join(small(stage(chosen, "labelled"), bound=2 * max_train), "doc_id")
 
-    def run(batches):
+    def of_texts(batches):
+        import pyarrow as pa
+
+        for batch in (p for b in batches for p in parts(b)):
+            terms = _terms(_raw(batch))
+            ends = np.concatenate([[0], np.cumsum([len(t) for t in terms])]).astype(np.int32)
+            flat = pa.array(np.concatenate([np.zeros(0, np.int32), *terms]), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.string()), pa.array([int(y > 0) for y in batch.column("toxic").to_pylist()], pa.int32()), pa.ListArray.from_arrays(pa.array(ends), flat)], names=["doc_id", "toxic", "terms"])
+
+    found = stage(texts.mapInArrow(of_texts, "doc_id string, toxic int, terms array<int>"), "terms")
+    n, pos = found.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    if not 0 < pos < n:
+        return np.zeros(0, np.int32), [np.zeros(0, np.int32)] * n, np.full(n, float(pos > 0), np.float32)
+    each = found.select("toxic", F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("n"), F.sum("toxic").alias("bad")).where(F.col("n") >= MIN_DOCS)
+    expected = F.col("n") * (pos / n)
+    tells = F.pow(F.col("bad") - expected, F.lit(2.0)) / F.greatest(expected * (1 - pos / n) * (1 - F.col("n") / (n + 1)), F.lit(1e-9))
+    used = np.sort(np.array([r["t"] for r in each.orderBy(tells.desc(), "t").limit(TERMS).select("t").collect()], np.int32))
+
+    def of_used(batches):
         import pyarrow as pa
 
         for batch in batches:
-            terms = [t.tobytes() for t in _terms(_raw(batch))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.string()), batch.column("toxic").cast(pa.int32()), pa.array(terms, pa.binary())], names=["doc_id", "toxic", "terms"])
+            lists = [np.array(t, np.int32) for t in batch.column("terms").to_pylist()]
+            kept = pa.array([t[np.isin(t, used)].tobytes() for t in lists], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), kept], names=["doc_id", "toxic", "terms"])
 
-    rows = sorted((r["doc_id"], r["toxic"], bytes(r["terms"])) for r in texts.mapInArrow(run, "doc_id string, toxic int, terms binary").collect())
-    return [np.frombuffer(t, np.int32) for _, _, t in rows], np.array([int(y > 0) for _, y, _ in rows], np.float32)
+    rows = found.mapInArrow(of_used, "doc_id string, toxic int, terms binary").limit(2 * max_train).collect()
+    rows = sorted((r["doc_id"] or "", r["toxic"], bytes(r["terms"])) for r in rows)
+    return used, [np.frombuffer(t, np.int32) for _, _, t in rows], np.array([y for _, y, _ in rows], np.float32)
 
 
-def train(terms: list[np.ndarray], y: np.ndarray, seed: int = 5) -> dict:
-    """terms (used ones, sorted), bias, weights, factors. Used are the terms that tell most of the labels (chi-squared)."""
+def train(used: np.ndarray, terms: list[np.ndarray], y: np.ndarray, seed: int = 5) -> dict:
+    """terms (the used ones, sorted), bias, weights, factors; learned from the used terms of each document and its label."""
     if not len(y) or y.min() == y.max():
         return {"terms": np.zeros(0, np.int32), "bias": 4.0 * float(y.mean() if len(y) else 0) - 2.0, "weights": np.zeros(0, np.float32), "factors": np.zeros((0, FACTORS), np.float32)}
-    size, n, pos = 1 << BITS, len(y), float(y.sum())
-    in_all = np.bincount(np.concatenate(terms), minlength=size)
-    bad = [t for t, v in zip(terms, y, strict=True) if v]
-    in_bad = np.bincount(np.concatenate(bad), minlength=size)
-    expected = in_all * pos / n
-    tells = np.where(in_all >= MIN_DOCS, (in_bad - expected) ** 2 / np.maximum(expected * (1 - pos / n) * (1 - in_all / (n + 1)), 1e-9), 0)
-    used = np.sort(np.argsort(-tells, kind="stable")[:TERMS].astype(np.int32))
-    slot = np.full(size, -1, np.int32)
-    slot[used] = np.arange(len(used))
-    rows = [s[s >= 0] for s in (slot[t] for t in terms)]
+    n, pos = len(y), float(y.sum())
+    rows = [np.searchsorted(used, t) for t in terms]
     rng = np.random.default_rng(seed)
     par = {"bias": np.array([np.log(pos / (n - pos))], np.float64), "weights": np.zeros(len(used)), "factors": rng.standard_normal((len(used), FACTORS)) * 0.02}
     seen = {k: np.full_like(v, 1e-6) for k, v in par.items()}
@@ -120,7 +138,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRA
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in (p for b in batches for p in parts(b)):
             s = scores(model, _raw(batch))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32), pa.int32())], names=["doc_id", "held_out", "score", "predicted"])
 
