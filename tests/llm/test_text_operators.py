@@ -275,25 +275,52 @@ def test_quality_counts_of_repeating_texts(spark):
     assert rows_of(got, "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words") == [(i, *brute.counts(t)) for i, t in enumerate(docs)]
 
 
-def test_quality_estimates_are_the_algorithm_in_numpy(spark):
+def least_determinant(x):
+    """Centre, covariance and scale in numpy, of rows x in whole numbers, with the operator's starts, share and ranking by levels."""
+    y, floor = x / quality.SCALE, np.diag(np.array(quality.FLOOR) ** 2)
+    mid = np.median(x, 0)
+    spread = (np.median(np.abs(x - mid), 0) / quality.SCALE * 1.4826) ** 2
+    level = lambda c, v: np.round(64 * np.log1p(np.einsum("ij,jk,ik->i", y - c, np.linalg.inv(v), y - c)))
+
+    def step(centre, cov):
+        at = level(centre, cov)
+        steps, n = np.unique(at, return_counts=True)
+        near = y[np.isin(at, steps[np.cumsum(n) - n < quality.H * len(y)])]
+        centre, cov = near.mean(0), np.cov(near.T, bias=True).reshape(5, 5) + floor
+        return np.linalg.slogdet(cov)[1], centre, cov
+
+    tried = []
+    for start in ((mid / quality.SCALE, np.diag(spread) + floor), (mid / quality.SCALE, floor), (y.mean(0), np.cov(y.T, bias=True) + floor)):
+        first = step(*start)
+        second = step(*first[1:])
+        tried.append((min(first, second, key=lambda r: r[0]), first[0] - second[0] > quality.LEAST_FALL))
+    best, falls = min(tried, key=lambda r: r[0][0])
+    while falls:
+        after = step(*best[1:])
+        falls = best[0] - after[0] > quality.LEAST_FALL
+        best = min(best, after, key=lambda r: r[0])
+    _, centre, cov = best
+    return centre, cov, np.log(max(1.0, (np.exp(np.median(level(centre, cov)) / 64) - 1) / quality.CHI2_MEDIAN))
+
+
+def test_quality_estimates_are_the_least_determinant(spark):
     rng = np.random.default_rng(4)
     x = np.round(quality.SCALE * rng.multivariate_normal(np.arange(5), np.diag([1, 0.5, 0.2, 0.1, 0.3]) + 0.05, 400)).astype(int)
     x[:40] += 6000
-    stats = spark.createDataFrame([("g", *map(int, r)) for r in x] + [("small", *map(int, x[0]))], "grp string, " + ", ".join(f"{f} long" for f in quality.FEATURES))
-    found = quality.estimates(stats).collect()
-    assert [r["grp"] for r in found] == ["g"]
-    y, floor = x / quality.SCALE, np.array(quality.FLOOR)
-    centre = np.median(y, 0)
-    cov = np.diag((np.median(np.abs(y - centre), 0) * 1.4826) ** 2 + floor**2)
-    dist = lambda: np.einsum("ij,jk,ik->i", y - centre, np.linalg.inv(cov), y - centre)
-    for _ in range(quality.STEPS):
-        level = np.round(64 * np.log1p(dist()))
-        near = y[level <= np.percentile(level, 100 * quality.H)]
-        centre, cov = near.mean(0), np.cov(near.T, bias=True) + np.diag(floor**2)
-    assert [found[0][f"m{i}"] for i in range(5)] == pytest.approx(list(centre), abs=1e-6)
-    v = np.array([[found[0][f"v{i}{j}"] if j <= i else 0.0 for j in range(5)] for i in range(5)])
-    assert np.allclose(v @ cov @ v.T, np.eye(5), atol=1e-6)
-    assert (dist()[:40] > 20).all()
+    y = np.round(quality.SCALE * rng.multivariate_normal(np.zeros(5), np.eye(5) * 0.3, 120)).astype(int)
+    y[:25, :2] += 3000
+    groups = {"g": x, "half": y, "five": x[100:105], "one": x[:1]}
+    stats = spark.createDataFrame([(g, *map(int, r)) for g, rows in groups.items() for r in rows], "grp string, " + ", ".join(f"{f} long" for f in quality.FEATURES))
+    found = {r["grp"]: r for r in quality._factors(quality.estimates(stats)).collect()}
+    assert set(found) == set(groups)
+    for g, rows in groups.items():
+        centre, cov, lnscale = least_determinant(rows)
+        assert found[g]["n"] == len(rows)
+        assert [found[g][f"m{i}"] for i in range(5)] == pytest.approx(list(centre), abs=1e-6)
+        assert [found[g][f"c{i}{j}"] for i in range(5) for j in range(i + 1)] == pytest.approx([cov[i, j] for i in range(5) for j in range(i + 1)], abs=1e-6)
+        assert found[g]["lnscale"] == pytest.approx(lnscale, abs=1e-6)
+        v = np.array([[found[g][f"v{i}{j}"] if j <= i else 0.0 for j in range(5)] for i in range(5)])
+        assert np.allclose(v @ cov @ v.T, np.eye(5), atol=1e-6)
 
 
 def test_quality_verdicts(spark):
@@ -305,17 +332,23 @@ def test_quality_verdicts(spark):
     assert all(got[i] for i in range(200)) and not any(got[i] for i in range(200, 210))
 
 
-def test_quality_judges_small_groups(spark):
-    """Groups of fewer than MIN_GROUP are judged by their language, and small languages by all documents."""
+@pytest.mark.parametrize("n", [1, 5, 29])
+def test_quality_judges_small_groups(spark, n):
+    """Groups of few documents are judged by the same method: clean ones stay, and junk goes, alone in its group or among clean ones."""
     rng = random.Random(8)
-    docs = [(" ".join(rng.choices(VOCABULARY, k=rng.randint(60, 200))), "en", "large") for _ in range(100)]
-    docs += [(" ".join(rng.choices(VOCABULARY, k=rng.randint(60, 200))), lang, f"s{i % 3}") for i in range(12) for lang in ("en", "xx", None)]
-    n = len(docs)
-    docs += [(" ".join(w + "###" for w in t.split()), lang, source) for t, lang, source in docs[100:n]][:9]
+    clean = lambda: " ".join(rng.choices(VOCABULARY, k=rng.randint(60, 200)))
+    docs = [(clean(), "en", "large") for _ in range(100)] + [(clean(), lang, "small") for lang in ("en", "xx", None) for _ in range(n)]
+    kept = len(docs)
+    docs += [(" ".join(w + "###" for w in clean().split()), lang, s) for lang, s in (("en", "alone"), ("en", "small"), ("xx", "alone"), (None, None))]
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(docs)], "doc_id long, text string, lang string, source string")
     got = {r["doc_id"]: r for r in quality.judge(df).collect()}
     assert len(got) == len(docs) and all(r["distance"] is not None for r in got.values())
-    assert all(got[i]["kept"] for i in range(n)) and not any(got[i]["kept"] for i in range(n, len(docs)))
+    assert all(got[i]["kept"] for i in range(kept)) and not any(got[i]["kept"] for i in range(kept, len(docs)))
+
+
+def test_quality_leaves_no_document_unjudged(spark, sf):
+    for path in (sf, "/root/testdata/sf0.01"):
+        assert quality.judge(common.table(spark, path, "documents")).where("distance is null").count() == 0
 
 
 # Toxicity

@@ -1,20 +1,26 @@
 """Quality rules: counts of whole texts, then robust multivariate outliers by language and source.
 
-The outliers are found by the minimum covariance determinant: from coordinatewise medians, concentration steps keep the
-share H of a group's documents that lie nearest, and estimate centre and covariance anew from them.
+The outliers are found by the minimum covariance determinant: from several starts, concentration steps keep the share H of a
+group's documents that lie nearest, and estimate centre and covariance anew from them: two from each start, and more from the
+one with the least determinant, until that falls no further. A group's estimates are shrunk towards those of its language, and these towards those of
+all documents, as if so many documents of the wider group were among its own; so a group of one is judged like one of many.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import SPACE, small, split_words, stage, text_of
+from .common import SPACE, small, split_words, stage, text_of, unstage
 
 #: Fixed values of the base rules.
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
-#: Share of a group that the estimates rest on, concentration steps, and documents that a group needs for estimates of its own.
-H, STEPS, MIN_GROUP = 0.75, 3, 30
+#: Share of a group that the estimates rest on; concentration steps at most (fewer, once no determinant changes); documents of
+#: the wider group that a group's own estimates are mixed with.
+H, STEPS, PRIOR = 0.75, 20, 30
+#: By how much less the determinant's logarithm has to become for another step.
+LEAST_FALL = 1e-4
 #: Squared distance beyond which a document is rejected. The median of chi-squared with 5 degrees is 4.3515.
 CUTOFF, CHI2_MEDIAN = 40.0, 4.3515
 #: Statistics are rounded to 1/SCALE, so that their sums are whole numbers and the order of rows doesn't matter.
@@ -68,94 +74,144 @@ def _factors(params: DataFrame) -> DataFrame:
             else:
                 left = sum((F.col(f"l{i}{k}") * F.col(f"v{k}{j}") for k in range(j, i)), F.lit(0.0))
                 params = params.withColumn(f"v{i}{j}", -left / F.col(f"l{i}{i}"))
-    return params.select("grp", *[f"m{i}" for i in range(p)], *[f"v{i}{j}" for i in range(p) for j in range(i + 1)])
+    return params
 
 
-def _with_distance(stats: DataFrame, params: DataFrame) -> DataFrame:
-    joined = stats.join(small(params, bound=50_000), "grp")
+def _with_det(params: DataFrame) -> DataFrame:
+    """params with the factors and the determinant's logarithm."""
+    p = len(FEATURES)
+    return _factors(params).withColumn("logdet", sum((2 * F.ln(f"l{i}{i}") for i in range(p)), F.lit(0.0))).drop(*[f"l{i}{j}" for i in range(p) for j in range(i + 1)])
+
+
+def _distance() -> Column:
     d2 = F.lit(0.0)
     for i in range(len(FEATURES)):
         z = sum(((F.col(FEATURES[j]) / SCALE - F.col(f"m{j}")) * F.col(f"v{i}{j}") for j in range(i + 1)), F.lit(0.0))
         d2 = d2 + z * z
-    return joined.select("grp", *FEATURES, d2.alias("d2"))
+    return d2
 
 
-def _level() -> Column:
-    """Distances in steps of about 1.5 %: few different values, so that exact quantiles need little memory."""
-    return F.round(64 * F.ln(1 + F.col("d2"))).cast("long")
+def _level(d2: Column) -> Column:
+    """Distances in steps of about 1.5 %: few different values, so that documents are ranked by counts of them."""
+    return F.round(64 * F.ln(1 + d2)).cast("long")
 
 
-def _estimate(chosen: DataFrame) -> DataFrame:
-    """grp, m.., c..: centre and covariance (with the floor) of the chosen rows, from sums of whole numbers."""
+def _sums() -> list[Column]:
+    """Sums of whole numbers, so that the order of rows doesn't matter."""
     p, big = len(FEATURES), lambda c: c.cast("decimal(20,0)")
-    sums = [F.count("*").alias("n")] + [F.sum(big(F.col(f))).cast("double").alias(f"s{i}") for i, f in enumerate(FEATURES)]
-    sums += [F.sum(big(F.col(FEATURES[i]) * F.col(FEATURES[j]))).cast("double").alias(f"q{i}{j}") for i in range(p) for j in range(i + 1)]
-    mean = lambda i: F.col(f"s{i}") / F.col("n") / SCALE
-    cov = [(F.col(f"q{i}{j}") / F.col("n") / SCALE**2 - mean(i) * mean(j) + F.lit(FLOOR[i] ** 2 if i == j else 0.0)).alias(f"c{i}{j}") for i in range(p) for j in range(i + 1)]
-    return chosen.groupBy("grp").agg(*sums).select("grp", *[mean(i).alias(f"m{i}") for i in range(p)], *cov)
+    sums = [F.count("*").alias("n")] + [F.sum(big(F.col(f))).alias(f"s{i}") for i, f in enumerate(FEATURES)]
+    return sums + [F.sum(big(F.col(FEATURES[i]) * F.col(FEATURES[j]))).alias(f"q{i}{j}") for i in range(p) for j in range(i + 1)]
 
 
-def estimates(stats: DataFrame) -> DataFrame:
-    """grp, m.., v.., scale: the minimum covariance determinant estimates of each group of MIN_GROUP rows and more.
+def _moments(found: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, n, m.., c..: centre and covariance (with the floor) of frames with the columns of _sums()."""
+    p = len(FEATURES)
+    mean = lambda i: F.col(f"s{i}").cast("double") / F.col("n") / SCALE
+    cov = [(F.col(f"q{i}{j}").cast("double") / F.col("n") / SCALE**2 - mean(i) * mean(j) + F.lit(FLOOR[i] ** 2 if i == j else 0.0)).alias(f"c{i}{j}") for i in range(p) for j in range(i + 1)]
+    return found.select(*keys, "n", *[mean(i).alias(f"m{i}") for i in range(p)], *cov)
+
 
-    stats: grp and FEATURES (whole numbers). scale brings the median distance to that of chi-squared.
+def _nearest(stats: DataFrame, params: DataFrame) -> DataFrame:
+    """grp, start, n, m.., c..: estimates anew, from the levels of distance that hold the nearest share H of each group.
+
+    Rows are added up by level first, so a group of any size is some hundred sums before they are brought together.
     """
+    names = [c for c in params.columns if c[0] in "mv"]
+    near = stats.join(small(params.select("grp", "start", *names), bound=50_000), "grp").select("grp", "start", _level(_distance()).alias("level"), *FEATURES)
+    of_level = near.groupBy("grp", "start", "level").agg(*_sums())
+    upto = Window.partitionBy("grp", "start").orderBy("level")
+    counted = of_level.withColumn("before", F.sum("n").over(upto) - F.col("n")).withColumn("total", F.sum("n").over(Window.partitionBy("grp", "start")))
+    inner = counted.where(F.col("before") < H * F.col("total"))
+    columns = [c for c in of_level.columns if c not in ("grp", "start", "level")]
+    return _moments(inner.groupBy("grp", "start").agg(*[F.sum(c).alias(c) for c in columns]), ["grp", "start"])
+
+
+def _starts(stats: DataFrame) -> DataFrame:
+    """grp, start, m.., c..: medians with the spread of each statistic alone (0), medians with the floors (1), and all rows (2)."""
     p = len(FEATURES)
-    mid = stats.groupBy("grp").agg(F.count("*").alias("n"), *[F.percentile(f, 0.5).alias(f"_{i}") for i, f in enumerate(FEATURES)]).where(F.col("n") >= MIN_GROUP)
-    mid = stage(mid.select("grp", *[F.col(f"_{i}") for i in range(p)]), "medians")
+    cells = [(i, j) for i in range(p) for j in range(i + 1)]
+    mid = stage(stats.groupBy("grp").agg(*[F.percentile(f, 0.5).alias(f"_{i}") for i, f in enumerate(FEATURES)]), "medians")
     off = stats.join(small(mid, bound=50_000), "grp").groupBy("grp").agg(*[F.first(f"_{i}").alias(f"_{i}") for i in range(p)], *[F.percentile(F.abs(F.col(f) - F.col(f"_{i}")), 0.5).alias(f"a{i}") for i, f in enumerate(FEATURES)])
+    centre = [(F.col(f"_{i}") / SCALE).alias(f"m{i}") for i in range(p)]
     spread = lambda i: F.pow(F.col(f"a{i}") / SCALE * 1.4826, F.lit(2.0)) + FLOOR[i] ** 2
-    params = off.select("grp", *[(F.col(f"_{i}") / SCALE).alias(f"m{i}") for i in range(p)], *[(spread(i) if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i in range(p) for j in range(i + 1)])
-    params = stage(_factors(params), "estimates")
-    for _ in range(STEPS):
-        near = _with_distance(stats, params).withColumn("level", _level())
-        edge = stage(near.groupBy("grp").agg(F.percentile("level", H).alias("edge")), "edges")
-        chosen = near.join(small(edge, bound=50_000), "grp").where(F.col("level") <= F.col("edge"))
-        params = stage(_factors(_estimate(chosen)), "estimates")
-    mid = _with_distance(stats, params).withColumn("level", _level()).groupBy("grp").agg(F.percentile("level", 0.5).alias("mid"))
-    scale = F.greatest(F.lit(1.0), (F.exp(F.col("mid") / 64) - 1) / CHI2_MEDIAN)
-    return stage(params.join(mid, "grp").select(params["*"], scale.alias("scale")), "estimates")
-
-
-def _with_wider(featured: DataFrame) -> DataFrame:
-    """grp, m.., v.., scale of every group of featured (grp, lang, FEATURES): its own estimates, or where it has fewer than
-    MIN_GROUP rows those of its language, or else of all rows. Wider estimates are made only if a group needs them."""
-    found = estimates(featured.select("grp", *FEATURES))
-    wider = [F.to_json(F.struct("lang"), {"ignoreNullFields": "false"}), F.lit("all")]
-    groups = stage(featured.groupBy("grp").agg(F.first("lang").alias("lang")), "groups")
-    for of in wider:
-        lacking = groups.join(found.select("grp"), "grp", "left_anti").select("grp", of.alias("_wide"))
-        asked = stage(lacking.select("_wide").distinct(), "asked")
-        n_asked = asked.count()
-        if not n_asked:
+    alone = off.select("grp", F.lit(0).alias("start"), *centre, *[(spread(i) if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i, j in cells])
+    floors = mid.select("grp", F.lit(1).alias("start"), *centre, *[F.lit(FLOOR[i] ** 2 if i == j else 0.0).alias(f"c{i}{j}") for i, j in cells])
+    whole = _moments(stats.groupBy("grp").agg(*_sums()), ["grp"]).withColumn("start", F.lit(2))
+    return alone.unionByName(floors).unionByName(whole.select(alone.columns))
+
+
+def estimates(stats: DataFrame) -> DataFrame:
+    """grp, n, m.., c.., lnscale: the minimum covariance determinant estimates of each group.
+
+    stats: grp and FEATURES (whole numbers). exp(lnscale) brings the median distance to that of chi-squared, and is 1 at least.
+    """
+    p = len(FEATURES)
+    columns = [*[f"m{i}" for i in range(p)], *[f"c{i}{j}" for i in range(p) for j in range(i + 1)]]
+    row = ["logdet", *columns, *[f"v{i}{j}" for i in range(p) for j in range(i + 1)]]
+    begin = stage(_factors(_starts(stats)), "estimates")
+    params = stage(_with_det(_nearest(stats, begin)), "estimates")
+    unstage(begin)
+    for i in range(STEPS):
+        after = _with_det(_nearest(stats, params)).select("grp", "start", F.struct(*row).alias("after"))
+        before = params.select("grp", "start", F.struct(*row).alias("before"))
+        both = after.join(small(before, bound=50_000), ["grp", "start"])
+        fell = (F.col("before.logdet") - F.col("after.logdet") > LEAST_FALL).alias("fell")
+        both = both.select("grp", "start", fell, F.least("before", "after").alias("b"))
+        if i == 0:  # only the best start of each group goes on
+            both = both.groupBy("grp").agg(F.min(F.struct("b", "start", "fell")).alias("s")).select("grp", "s.start", "s.fell", "s.b")
+        later = stage(both.select("grp", "start", "fell", "b.*"), "estimates")
+        unstage(params)
+        params = later
+        if not params.where("fell").limit(1).count():
             break
-        rows = featured.select(of.alias("_wide"), *FEATURES).join(small(asked, n_asked, 50_000), "_wide", "left_semi")
-        wide = estimates(rows.withColumnRenamed("_wide", "grp")).withColumnRenamed("grp", "_wide")
-        found = stage(found.unionByName(lacking.join(small(wide, bound=50_000), "_wide").drop("_wide")), "estimates")
-    return found
+    best = params.select("grp", *row[1:])
+    best = stage(best, "estimates")
+    names = [c for c in best.columns if c[0] in "mv"]
+    mid = stats.join(small(best.select("grp", *names), bound=50_000), "grp").groupBy("grp").agg(F.percentile(_level(_distance()), 0.5).alias("mid"), F.count("*").alias("n"))
+    lnscale = F.ln(F.greatest(F.lit(1.0), (F.exp(F.col("mid") / 64) - 1) / CHI2_MEDIAN))
+    out = stage(best.join(mid, "grp").select("grp", "n", *columns, lnscale.alias("lnscale")), "estimates")
+    unstage(params, best)
+    return out
+
+
+def _shrunk(own: DataFrame, wide: DataFrame) -> DataFrame:
+    """own (grp, up, n, m.., c.., lnscale), each mixed with PRIOR documents' worth of the estimates of wide whose grp is up."""
+    names = [c for c in own.columns if c not in ("grp", "up", "n")]
+    theirs = wide.select(F.col("grp").alias("_up"), *[F.col(c).alias(f"_{c}") for c in names])
+    mixed = [((F.col("n") * F.col(c) + PRIOR * F.col(f"_{c}")) / (F.col("n") + PRIOR)).alias(c) for c in names]
+    return own.join(small(theirs, bound=50_000), F.col("up") == F.col("_up")).select("grp", *mixed)
+
+
+def _grp(level: int) -> Column:
+    """The group of a row at a level: 0 all documents, 1 its language, 2 its language and source."""
+    return F.to_json(F.struct(F.lit(level).alias("level"), *[F.col(c) for c in ("lang", "source")[:level]]), {"ignoreNullFields": "false"})
+
+
+def _parameters(featured: DataFrame) -> DataFrame:
+    """grp, m.., v.., lnscale of every group of language and source in featured (lang, source, FEATURES), shrunk."""
+    stats = featured.select(F.explode(F.array(*[_grp(k) for k in range(3)])).alias("grp"), *FEATURES)
+    found = estimates(stats)
+    groups = stage(featured.select(_grp(0).alias("all"), _grp(1).alias("lang"), _grp(2).alias("grp")).distinct(), "groups")
+    langs = groups.select(F.col("lang").alias("grp"), F.col("all").alias("up")).distinct()
+    langs = stage(_shrunk(found.join(small(langs, bound=50_000), "grp"), found), "estimates")
+    own = _shrunk(found.join(small(groups.select("grp", F.col("lang").alias("up")), bound=50_000), "grp"), langs)
+    return stage(_factors(own).select("grp", "lnscale", *[f"m{i}" for i in range(len(FEATURES))], *[f"v{i}{j}" for i in range(len(FEATURES)) for j in range(i + 1)]), "estimates")
 
 
 def judge(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     """doc_id, lang, source, the counts, base_failed, distance, kept for every row of docs (doc_id, text, lang, source).
 
     Null texts have no words, and fail the base like any of fewer than MIN_WORDS. Null languages and sources make groups of
-    their own. Groups of fewer than MIN_GROUP documents are judged by the estimates of their language, or if that has fewer
-    too, of all documents; only in a table of fewer than MIN_GROUP documents distances are null and the base alone decides.
-    Repeated rows count as often as they are there; equal rows get equal verdicts. Empty tables give no rows. Other columns
-    are not read.
+    their own. Every document has a distance, whatever its group's size: see _shrunk(). Repeated rows count as often as they
+    are there; equal rows get equal verdicts. Empty tables give no rows. Other columns are not read.
     """
     counted = stage(counts(docs.select("doc_id", "text", "lang", "source")), "counts")
-    grp = F.to_json(F.struct("lang", "source"), {"ignoreNullFields": "false"}).alias("grp")
-    featured = counted.select("*", grp, *_features())
-    params = _with_wider(featured).withColumnRenamed("grp", "_grp")
-    joined = featured.join(small(params, bound=50_000), F.col("grp") == F.col("_grp"), "left")
-    d2 = F.lit(0.0)
-    for i in range(len(FEATURES)):
-        z = sum(((F.col(FEATURES[j]) / SCALE - F.col(f"m{j}")) * F.col(f"v{i}{j}") for j in range(i + 1)), F.lit(0.0))
-        d2 = d2 + z * z
+    featured = counted.select("*", _grp(2).alias("grp"), *_features())
+    params = _parameters(counted.select("lang", "source", *_features())).withColumnRenamed("grp", "_grp")
+    joined = featured.join(small(params, bound=50_000), F.col("grp") == F.col("_grp"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    out = joined.select("doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (d2 / F.col("scale")).alias("distance"))
-    return out.select("*", (~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= cutoff)).alias("kept"))
+    out = joined.select("doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (_distance() / F.exp("lnscale")).alias("distance"))
+    return out.select("*", (~F.col("base_failed") & (F.col("distance") <= cutoff)).alias("kept"))
 
 
 def digest(result: DataFrame) -> DataFrame:
