@@ -473,8 +473,19 @@ def test_urls(spark):
 
 def test_filter_of_blocks_loses_nothing(spark):
     listed = spark.range(3000).select(F.concat(F.lit("u"), "id").alias("canon"))
-    asked = spark.range(2000, 6000).select(F.concat(F.lit("u"), "id").alias("canon"))
+    asked = spark.range(2000, 42000).select(F.concat(F.lit("u"), "id").alias("canon")).union(spark.createDataFrame([(None,)], "canon string"))
     assert {r["canon"] for r in url_filter.listed_hits(asked, listed).collect()} == {f"u{i}" for i in range(2000, 3000)}
+    passed = {r["canon"] for r in url_filter.possible_hits(asked, listed).collect()}
+    # Before the exact join: all that are listed, and some of the 39000 others, which it removes.
+    assert {f"u{i}" for i in range(2000, 3000)} <= passed and 0 < len(passed) - 1000 < 39000 * 0.02
+    assert url_filter.possible_hits(asked, listed.limit(0)).count() == 0
+
+
+def test_list_of_the_query(spark, sf):
+    pages = common.table(spark, sf, "pages").union(spark.createDataFrame([(None, None, None), (-1, "no url", "")], "page_id long, url string, html string"))
+    got = url_filter.judge_urls(pages, url_filter.listed_pages(pages))
+    assert {r["listed"] for r in got.collect()} == {True, False} and got.count() == pages.count()
+    assert url_filter.listed_pages(pages).where("url like '%absent%'").count() * 2 == url_filter.listed_pages(pages).count()
 
 
 # Chats
@@ -517,10 +528,23 @@ def test_long_chain_of_calls(spark):
 
 
 def test_turns(spark):
-    rows = [(1, 0, "assistant", "early"), (1, 1, "user", None), (1, 2, "assistant", "yes"), (None, 1, "system", "s"), (1, 3, "tool", "t")]
-    got = {(r["conv_id"], r["turn"]): r for r in chat.format_chat(chat.from_turns(with_clashes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))), chat.SCHEMAS).collect()}
-    assert got[1, 1]["call_id"] == got[1, 2]["call_id"] == "1:1" and got[1, 2]["linked"] and not got[1, 0]["linked"]
-    assert got[1, 1]["valid"] and got[None, 1]["valid"] and got[1, 3]["kind"] == "other"
+    role = {0: "user", 1: "assistant", 2: "system"}
+    rows = [(10, i, role[i % 3], f"say {i}") for i in range(20)] + [(10, 20, "tool", None), (None, 0, "assistant", "early"), (None, 6, "user", None), (None, 7, "assistant", "yes")]
+    rows += [(20, 4, "user", "reused, of none"), (20, 6, "user", "new"), (20, 14, "system", "reused"), (20, 15, "user", "round"), (20, 16, "user", "after")]
+    messages = chat.from_turns(with_clashes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")))
+    got = {(r["conv_id"], r["turn"]): r for r in chat.format_chat(messages, chat.SCHEMAS).collect()}
+    calls = {t: got[10, t] for t in range(20) if t % 3 != 1}
+    assert [t for t, r in calls.items() if not r["valid"]] == [0, 2, 3, 11, 12]  # k: 0, 2, 3, 1, 2
+    assert got[10, 14]["call_id"] == "10:12" and [t for t, r in calls.items() if r["ambiguous"]] == [12, 14]
+    assert [got[10, t]["depth"] for t in (0, 2, 3)] == [0, 1, 2] and all(got[10, t]["depth"] is None for t in (5, 6, 18))
+    assert got[10, 4]["linked"] and got[10, 4]["call_id"] == "10:3" and got[10, 20]["kind"] == "other"
+    assert not got[None, 0]["linked"] and got[None, 7]["linked"] and got[None, 6]["valid"]
+    assert [(got[20, t]["call_id"], got[20, t]["depth"], got[20, t]["ambiguous"]) for t in (4, 6, 14, 15, 16)] == [("20:4", 0, False), ("20:6", 0, True), ("20:6", 0, True), ("20:15", None, False), ("20:16", None, False)]
+
+
+def test_query_has_both_verdicts(spark, sf):
+    got = queries.op8_tool_calls(spark, sf)
+    assert all(got.select(c).distinct().count() == 2 for c in ("valid", "linked", "ambiguous")) and got.where("kind = 'call' and depth is null").count()
 
 
 # Secrets

@@ -87,40 +87,60 @@ def format_chat(messages: DataFrame, schemas: dict) -> DataFrame:
 
 def from_turns(conversations: DataFrame) -> DataFrame:
     """conversations (conv_id, turn, role, text) as messages: turns of users and systems call for an answer, an assistant's
-    turn is the result of the last call before it, and each call follows the one before. Null texts count as empty."""
+    turn is the result of the last call before it, and each call follows the one before.
+
+    Not all calls are as they should be, by k = (7 * conv_id + turn) mod 10 (null counts as 0): 0 gives words as a string, 1 has
+    a field more, 2 a field less, 3 asks a tool that there isn't, 4 takes the identifier of the call before, without a parent,
+    and 5 names itself as its parent. Null texts count as empty. Rows of null conversations are one. Equal turns are taken by
+    role and text.
+    """
     is_call = F.col("role").isin("user", "system")
+    number = lambda c: F.pmod(F.coalesce(F.col(c).cast("long"), F.lit(0)), F.lit(10))
     ident = F.concat_ws(":", F.coalesce(F.col("conv_id").cast("string"), F.lit("null")), F.col("turn").cast("string"))
-    plain = conversations.select("conv_id", "turn", "role", text_of().alias("text"))
+    plain = conversations.select("conv_id", "turn", "role", text_of().alias("text"), ((7 * number("conv_id") + number("turn")) % 10).alias("k"))
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    last = F.last(F.when(is_call, ident), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    new = F.when(is_call & (F.col("k") != 4), ident)
+    upto = F.last(new, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    last = F.last(new, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
     kind = F.when(is_call, "call").when(F.col("role") == "assistant", "result").otherwise("other")
     words = F.size(F.array_remove(F.split("text", r"\s+"), ""))
-    body = F.to_json(F.struct(F.col("text"), words.alias("words")))
-    named = plain.select("conv_id", "turn", "role", kind.alias("kind"), ident.alias("ident"), last.alias("last"), body.alias("body"))
+    named = plain.select("conv_id", "turn", "role", "text", "k", kind.alias("kind"), F.coalesce(upto, ident).alias("ident"), last.alias("last"), words.alias("words"))
+    right = F.to_json(F.struct("text", "words"))
+    broken = F.when(F.col("k") == 0, F.to_json(F.struct("text", F.col("words").cast("string").alias("words"))))
+    broken = broken.when(F.col("k") == 1, F.to_json(F.struct("text", "words", F.lit(True).alias("note")))).when(F.col("k") == 2, F.to_json(F.struct("text")))
+    body = F.when(F.col("kind") == "call", F.coalesce(broken, right)).otherwise(right)
     call_id = F.when(F.col("kind") == "call", F.col("ident")).when(F.col("kind") == "result", F.col("last"))
-    name = F.when(F.col("role") == "user", "ask").when(F.col("role") == "system", "instruct")
-    return named.select("conv_id", "turn", "role", "kind", call_id.alias("call_id"), F.when((F.col("kind") == "call") & (F.col("last") != F.col("ident")), F.col("last")).alias("parent_id"), name.alias("name"), "body")
+    parent = F.when(F.col("kind") == "call", F.when(F.col("k") == 5, F.col("ident")).when(F.col("k") != 4, F.col("last")))
+    name = F.when(F.col("kind") == "call", F.when(F.col("k") == 3, "draw").when(F.col("role") == "user", "ask").otherwise("instruct"))
+    return named.select("conv_id", "turn", "role", "kind", call_id.alias("call_id"), parent.alias("parent_id"), name.alias("name"), body.alias("body"))
 
 
 def digest(result: DataFrame) -> DataFrame:
-    return result.select("conv_id", "turn", "role", "kind", "call_id", "linked", "depth", "position", "valid", F.md5("json").alias("json_md5"))
+    return result.select("conv_id", "turn", "role", "kind", "call_id", "linked", "ambiguous", "depth", "position", "valid", F.md5("json").alias("json_md5"))
 
 
 #: DuckDB, for tables in which no conversation has a turn twice.
 SQL = r"""
 WITH t AS (
   SELECT conv_id, turn, role, coalesce(text, '') AS text, CASE WHEN role IN ('user', 'system') THEN 'call' WHEN role = 'assistant' THEN 'result' ELSE 'other' END AS kind,
-    conv_id || ':' || turn AS ident FROM conversations),
+    conv_id || ':' || turn AS ident, (7 * (conv_id % 10) + turn % 10) % 10 AS k, len(list_filter(string_split_regex(coalesce(text, ''), '\s+'), lambda x: x <> '')) AS words FROM conversations),
 l AS (
-  SELECT *, last_value(CASE WHEN kind = 'call' THEN ident END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev,
-    count(*) FILTER (kind = 'call') OVER (PARTITION BY conv_id ORDER BY turn) AS nth FROM t),
-c AS (SELECT *, CASE kind WHEN 'call' THEN ident WHEN 'result' THEN prev END AS call_id, CASE WHEN kind = 'other' OR nth = 0 THEN NULL ELSE nth - 1 END AS depth FROM l),
-n AS (SELECT *, count(*) FILTER (kind = 'result') OVER (PARTITION BY conv_id, call_id) AS results FROM c)
-SELECT conv_id, turn, role, kind, call_id, call_id IS NOT NULL AND kind <> 'other' AND results > 0 AS linked, CAST(depth AS BIGINT) AS depth,
-  CAST(row_number() OVER (PARTITION BY conv_id ORDER BY depth NULLS LAST, turn) - 1 AS BIGINT) AS position, true AS valid,
-  md5('{"body":{"text":' || CAST(to_json(text) AS VARCHAR) || ',"words":' || len(list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')) || '}'
-    || CASE WHEN call_id IS NULL THEN '' ELSE ',"id":"' || call_id || '"' END || ',"kind":"' || kind || '"'
-    || CASE role WHEN 'user' THEN ',"name":"ask"' WHEN 'system' THEN ',"name":"instruct"' ELSE '' END
-    || CASE WHEN kind = 'call' AND prev IS NOT NULL THEN ',"parent":"' || prev || '"' ELSE '' END || ',"role":"' || role || '","turn":' || turn || '}') AS json_md5
+  SELECT *, last_value(CASE WHEN kind = 'call' AND k <> 4 THEN ident END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev,
+    last_value(CASE WHEN kind = 'call' AND k <> 4 THEN ident END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto,
+    count(*) FILTER (kind = 'call' AND k <> 4) OVER (PARTITION BY conv_id ORDER BY turn) AS nth,
+    count(*) FILTER (kind = 'call' AND k = 5) OVER (PARTITION BY conv_id ORDER BY turn) AS circles FROM t),
+c AS (
+  SELECT *, CASE kind WHEN 'call' THEN coalesce(upto, ident) WHEN 'result' THEN prev END AS call_id,
+    CASE WHEN kind = 'other' OR circles > 0 OR kind = 'result' AND prev IS NULL THEN NULL ELSE greatest(nth - 1, 0) END AS depth,
+    CASE WHEN kind = 'call' AND k = 5 THEN ident WHEN kind = 'call' AND k <> 4 THEN prev END AS parent,
+    CASE WHEN kind <> 'call' THEN NULL WHEN k = 3 THEN 'draw' WHEN role = 'user' THEN 'ask' ELSE 'instruct' END AS name,
+    CASE WHEN kind = 'call' AND k = 1 THEN '{"note":true,"text":' ELSE '{"text":' END || CAST(to_json(text) AS VARCHAR)
+      || CASE WHEN kind = 'call' AND k = 0 THEN ',"words":"' || words || '"' WHEN kind = 'call' AND k = 2 THEN '' ELSE ',"words":' || words END || '}' AS body FROM l),
+n AS (SELECT *, count(*) FILTER (kind = 'result') OVER (PARTITION BY conv_id, call_id) AS results, count(*) FILTER (kind = 'call') OVER (PARTITION BY conv_id, call_id) AS calls FROM c)
+SELECT conv_id, turn, role, kind, call_id, call_id IS NOT NULL AND kind <> 'other' AND results > 0 AND calls > 0 AS linked, call_id IS NOT NULL AND calls > 1 AS ambiguous, CAST(depth AS BIGINT) AS depth,
+  CAST(row_number() OVER (PARTITION BY conv_id ORDER BY depth NULLS LAST, turn) - 1 AS BIGINT) AS position,
+  CASE WHEN kind = 'call' THEN name IN ('ask', 'instruct') AND list_sort(json_keys(body)) = ['text', 'words'] AND json_type(body, '$.text') = 'VARCHAR' AND coalesce(json_type(body, '$.words') IN ('UBIGINT', 'BIGINT'), false) ELSE json_valid(body) END AS valid,
+  md5('{"body":' || body || CASE WHEN call_id IS NULL THEN '' ELSE ',"id":"' || call_id || '"' END || ',"kind":"' || kind || '"' || CASE WHEN name IS NULL THEN '' ELSE ',"name":"' || name || '"' END
+    || CASE WHEN parent IS NULL THEN '' ELSE ',"parent":"' || parent || '"' END || ',"role":"' || role || '","turn":' || turn || '}') AS json_md5
 FROM n
 """

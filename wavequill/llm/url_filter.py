@@ -9,8 +9,6 @@ from .common import LOWER, UPPER, small, stage
 
 #: Verdict, host, path.
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
-#: Names of hosts that carry nothing but advertising; their pages make the list of the registered query.
-LISTED_NAMES = ["spam-farm", "cheap-pills"]
 #: Bits that a listed URL sets in its block of 64, and bits of the filter for each listed URL.
 BITS_SET, BITS_EACH = 4, 16
 
@@ -47,19 +45,25 @@ def _mask(canon: str) -> Column:
     return F.when(h.isNotNull(), mask)
 
 
-def listed_hits(canons: DataFrame, listed: DataFrame) -> DataFrame:
-    """The canon of canons that are in listed, both frames of one column canon.
+def possible_hits(canons: DataFrame, listed: DataFrame) -> DataFrame:
+    """The different canon of canons that the filter of listed lets through: all that are listed, and few others.
 
     The filter is a table of 64-bit blocks, made by bit_or over the listed URLs; it joins on the block's number, broadcast
-    only while small. What passes is joined exactly, which removes the false positives.
+    only while small. An empty list lets nothing through.
     """
-    listed = stage(listed.where(F.col("canon").isNotNull()).distinct(), "listed")
     blocks = max(1, listed.count() * BITS_EACH // 64)
     block = F.pmod(F.xxhash64("canon"), F.lit(blocks))
     words = listed.groupBy(block.alias("block")).agg(F.bit_or(_mask("canon")).alias("word"))
     asked = canons.select("canon").distinct().withColumn("block", block).withColumn("mask", _mask("canon"))
     maybe = asked.join(small(words, blocks), "block").where(F.col("word").bitwiseAND(F.col("mask")) == F.col("mask"))
-    return maybe.select("canon").join(listed, "canon", "left_semi")
+    return maybe.select("canon")
+
+
+def listed_hits(canons: DataFrame, listed: DataFrame) -> DataFrame:
+    """The different canon of canons that are in listed, both frames of one column canon: what passes the filter is joined
+    exactly, which removes the false positives. Null is never listed."""
+    listed = stage(listed.where(F.col("canon").isNotNull()).distinct(), "listed")
+    return possible_hits(canons, listed).join(listed, "canon", "left_semi")
 
 
 def judge_urls(pages: DataFrame, listed: DataFrame, rules=RULES) -> DataFrame:
@@ -72,18 +76,22 @@ def judge_urls(pages: DataFrame, listed: DataFrame, rules=RULES) -> DataFrame:
     host, path = url_parts(F.col("url"))
     rule, said = rule_of(F.col("host"), F.col("path"), rules)
     split = pages.select("page_id", host.alias("host"), path.alias("path"), canonical(F.col("url")).alias("canon"))
+    split = split.withColumn("canon", F.when(F.col("canon") != "", F.col("canon")))
     ruled = split.select("*", rule.alias("rule"), said.alias("said"))
     bad = listed.select(canonical(F.col("url")).alias("canon")).where(F.col("canon") != "")
-    hits = listed_hits(ruled.where(F.col("rule").isNull()).select("canon"), bad).withColumn("hit", F.lit(True))
-    found = ruled.join(hits, "canon", "left")
+    asked = ruled.where(F.col("rule").isNull() & F.col("canon").isNotNull())
+    hits = stage(listed_hits(asked.select("canon"), bad).withColumn("hit", F.lit(True)), "hits")
+    found = ruled.join(small(hits), "canon", "left")
     is_listed = F.coalesce("hit", F.lit(False))
     return found.select("page_id", "host", "path", "rule", F.coalesce("said", F.when(is_listed, "block").otherwise("allow")).alias("verdict"), (is_listed & F.col("rule").isNull()).alias("listed"))
 
 
-def listed_pages(pages: DataFrame, names=LISTED_NAMES) -> DataFrame:
-    """The list of the registered query: urls of pages whose host has one of the names as a label."""
-    host, _ = url_parts(F.col("url"))
-    return pages.select("url").where(host.rlike(rf"(^|\.)({'|'.join(names)})\."))
+def listed_pages(pages: DataFrame) -> DataFrame:
+    """The list of the registered query, which has no list of its own to read: a sixteenth of the different canonical urls of
+    pages, by their md5, and as many that no page has. So the list says nothing about hosts or what pages carry."""
+    canon = canonical(F.col("url"))
+    chosen = pages.select("url", canon.alias("canon")).where((F.col("canon") != "") & F.md5("canon").startswith("0"))
+    return chosen.select("url").unionByName(chosen.select(F.concat(F.lit("http://absent.invalid/"), F.md5("canon")).alias("url")))
 
 
 SQL = r"""
@@ -98,11 +106,10 @@ r AS (
     WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
     WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
     WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule,
-    regexp_replace(regexp_replace(host, ':\d*$', ''), '^(www|m|blog)\.', '') || regexp_replace(path, '/+$', '') || '?' ||
-      coalesce(array_to_string(list_sort(list_filter(string_split(asked, '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_\w+|ref|fbclid|gclid)(=|$)'))), '&'), '') AS canon,
-    regexp_matches(host, '(^|\.)(spam-farm|cheap-pills)\.') AS bad
+    regexp_replace(regexp_replace(host, ':\d*$', ''), '^(www|m|blog)\.', '') || regexp_replace(path, '/+$', '') ||
+      coalesce('?' || nullif(array_to_string(list_sort(list_filter(string_split(asked, '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_\w+|ref|fbclid|gclid)(=|$)'))), '&'), ''), '') AS canon
   FROM p),
-l AS (SELECT DISTINCT canon FROM r WHERE bad)
+l AS (SELECT DISTINCT canon FROM r WHERE canon <> '' AND md5(canon) LIKE '0%')
 SELECT page_id, host, path, rule,
   CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' WHEN canon IN (SELECT canon FROM l) THEN 'block' ELSE 'allow' END AS verdict,
   (rule IS NULL AND canon IN (SELECT canon FROM l)) AS listed
