@@ -40,8 +40,8 @@ def _shingles(windows: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def _hits(docs: DataFrame, shingles: DataFrame, ngram: int, bound: int) -> DataFrame:
-    """doc_id, th, n, pos, h, c0, ctx: each place of a benchmark shingle in a document, with the words that any window over it can hold.
+def _places(docs: DataFrame, shingles: DataFrame, bound: int) -> DataFrame:
+    """doc_id, th, words, pos, h: each place of one of shingles (k, h) in a document.
 
     The shingle table is broadcast in blocks of bound rows, so memory is bounded however large the benchmark is.
     """
@@ -57,28 +57,30 @@ def _hits(docs: DataFrame, shingles: DataFrame, ngram: int, bound: int) -> DataF
         for b in range(blocks):
             mine = wanted.where(F.col("k") == k).select("h")
             mine = mine.where(F.pmod("h", F.lit(blocks)) == b) if blocks > 1 else mine
-            c0 = F.greatest(F.col("pos") - (ngram - 1), F.lit(0))
-            parts.append(rows.join(F.broadcast(mine), "h").select("doc_id", "th", F.size("words").alias("n"), "pos", "h", c0.alias("c0"), F.slice("words", c0 + 1, F.col("pos") - c0 + ngram).alias("ctx")))
+            parts.append(rows.join(F.broadcast(mine), "h").select("doc_id", "th", "words", "pos", "h"))
     if not parts:
-        parts = [words.select("doc_id", "th", F.size("words").alias("n"), F.lit(0).alias("pos"), F.lit(0).cast("long").alias("h"), F.lit(0).alias("c0"), F.col("words").alias("ctx")).where(F.lit(False))]
+        parts = [words.select("doc_id", "th", "words", F.lit(0).alias("pos"), F.lit(0).cast("long").alias("h")).where(F.lit(False))]
     return reduce(DataFrame.unionByName, parts)
 
 
 def occurrences(docs: DataFrame, benchmark: DataFrame, ngram: int = 10, bound: int = BROADCAST_ROWS) -> tuple[DataFrame, DataFrame]:
     """(doc_id, th, start, size, wid) of every occurrence of a window, and (wid, item_id).
 
-    Containment of a whole window needs all its shingles, so its prefix is a single one: the rarest over all documents.
-    A place of that shingle is a candidate if the window fits into the document there; its words are then compared.
+    Containment of a whole window needs all its shingles, so its prefix is a single one: the rarest over all documents, which
+    a first pass counts. A second pass joins the documents with the prefixes alone: a place of one is a candidate if the
+    window fits into the document there; its words are then compared.
     """
     windows = stage(_windows(benchmark, ngram), "windows")
     shingles = stage(_shingles(windows), "shingles")
-    hits = stage(_hits(docs, shingles, ngram, bound), "hits")
-    found = hits.groupBy("h").agg(F.count("*").alias("n_found"))
+    found = stage(_places(docs, shingles, bound).groupBy("h").agg(F.count("*").alias("n_found")), "found")
     held = shingles.groupBy("wid").agg(F.count("*").alias("n_all"))
-    order = shingles.join(found, "h").groupBy("wid").agg(F.count("*").alias("n_there"), F.min(F.struct("n_found", "h", "o")).alias("rare"))
+    order = shingles.join(small(found), "h").groupBy("wid").agg(F.count("*").alias("n_there"), F.min(F.struct("n_found", "h", "o", "k")).alias("rare"))
     prefix = order.join(held, "wid").where(F.col("n_there") == F.col("n_all"))
     words = windows.dropDuplicates(["wid"]).select("wid", "w", "size")
-    anchors = stage(prefix.join(words, "wid").select("wid", "w", "size", F.col("rare.h").alias("h"), F.col("rare.o").alias("o")), "anchors")
+    anchors = stage(prefix.join(words, "wid").select("wid", "w", "size", F.col("rare.h").alias("h"), F.col("rare.o").alias("o"), F.col("rare.k").alias("k")), "anchors")
+    places = _places(docs, anchors, bound)
+    c0 = F.greatest(F.col("pos") - (ngram - 1), F.lit(0))
+    hits = places.select("doc_id", "th", F.size("words").alias("n"), "pos", "h", c0.alias("c0"), F.slice("words", c0 + 1, F.col("pos") - c0 + ngram).alias("ctx"))
     start = F.col("pos") - F.col("o")
     fits = hits.join(small(anchors, bound=bound // 10), "h").where((start >= 0) & (start + F.col("size") <= F.col("n")))
     right = fits.where(F.slice("ctx", start - F.col("c0") + 1, F.col("size")) == F.col("w"))
@@ -89,8 +91,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, ngram: int = 10, bound:
     """One row per row of docs (doc_id, text): doc_id, n_words, n_hit, n_items, items, contaminated.
 
     Null and empty texts have no words and are clean. Rows that repeat get equal results each; rows with one doc_id and
-    different texts are judged apart, a null doc_id like any other. Items that repeat count once, null and empty ones match
-    nothing. Empty tables give no rows, or no hits. Other columns of either table are not read.
+    different texts are judged apart, a null doc_id like any other. Items that repeat count once, null and empty texts of items
+    match nothing. An item without item_id hits words, but has no name and isn't counted: n_hit > 0 with n_items 0. Empty tables give no rows, or no hits. Other columns of either table are not read.
     """
     docs, benchmark = docs.select("doc_id", "text"), benchmark.select("item_id", "text")
     places, items = occurrences(docs, benchmark, ngram, bound)

@@ -51,7 +51,8 @@ def _found(texts: DataFrame, rule: Rule) -> DataFrame:
     return placed.where(F.col("grp") >= rule.at_least).select("blob", F.lit(rule.kind).alias("kind"), "start", "stop")
 
 
-LEDGER = "blob string, kind string, rule_version int, spans array<struct<start:bigint,stop:bigint>>"
+#: Columns of a ledger.
+LEDGER = {"blob": "string", "kind": "string", "rule_version": "int", "spans": "array<struct<start:bigint,stop:bigint>>"}
 
 
 def scan(versions: DataFrame, ledger: DataFrame | None = None, rules=RULES) -> tuple[DataFrame, DataFrame]:
@@ -63,17 +64,21 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, rules=RULES) -> t
     of start are in the order of rules, empty tables give no rows. Other columns are not read.
     """
     spark = versions.sparkSession
-    ledger = spark.createDataFrame([], LEDGER) if ledger is None else ledger
+    if ledger is None:
+        ledger = spark.range(0).select(*[F.lit(None).cast(kind).alias(name) for name, kind in LEDGER.items()])
     versions = versions.select("path", "version", text_of().alias("text"))
     paths = stage(versions.select("path", "version", F.sha2("text", 256).alias("blob")), "paths")
-    blobs = paths.groupBy("blob").agg(F.min(F.struct("path", "version")).alias("at"))
+    rows = paths.groupBy("blob", "path", "version").agg(F.count("*").alias("n"))
+    blobs = rows.groupBy("blob").agg(F.min(F.struct("path", "version", "n")).alias("at"))
     pairs = blobs.select("blob", "at", F.explode(F.array(*[F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("rule_version")) for r in rules])).alias("r"))
     unseen = pairs.select("blob", "at.*", "r.*").join(ledger.select("blob", "kind", "rule_version"), ["blob", "kind", "rule_version"], "left_anti")
-    todo = stage(unseen.groupBy("blob", "path", "version").agg(F.collect_set("kind").alias("kinds")), "todo")
+    todo = stage(unseen.groupBy("blob", "path", "version", "n").agg(F.collect_set("kind").alias("kinds")), "todo")
     # One path stands for a blob: its text is fetched by path, which no hot text makes uneven.
-    fetched = versions.join(todo.hint("merge"), same(versions, todo, ["path", "version"])).select(todo["blob"], "kinds", "text")
+    fetched = versions.join(todo.hint("merge"), same(versions, todo, ["path", "version"])).select(todo["blob"], "kinds", "n", "text")
     stands = fetched.where(F.sha2("text", 256) == F.col("blob"))
-    texts = stage(reduce(lambda a, r: a.withColumn(f"hit_{r.kind}", F.array_contains("kinds", r.kind) & F.col("text").rlike(r.pattern)), rules, stands).where(reduce(lambda a, b: a | b, [F.col(f"hit_{r.kind}") for r in rules])), "texts").dropDuplicates(["blob"])
+    hits = reduce(lambda a, r: a.withColumn(f"hit_{r.kind}", F.array_contains("kinds", r.kind) & F.col("text").rlike(r.pattern)), rules, stands).where(reduce(lambda a, b: a | b, [F.col(f"hit_{r.kind}") for r in rules]))
+    # Only rows that repeat have to be brought together to keep one of them.
+    texts = stage(hits.where("n = 1").unionByName(hits.where("n > 1").dropDuplicates(["blob"])), "texts")
     found = reduce(DataFrame.unionByName, [_found(texts.where(F.col(f"hit_{r.kind}")).select("blob", "text"), r) for r in rules])
     spans = found.groupBy("blob", "kind").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("spans"))
     now = todo.select("blob", F.explode("kinds").alias("kind")).join(spans, ["blob", "kind"], "left")
