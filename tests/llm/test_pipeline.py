@@ -1,4 +1,5 @@
 import brute
+from conftest import ROWS
 from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
@@ -34,12 +35,27 @@ def test_stages_are_plain_python(spark, sf):
 
 
 def test_stages_take_odd_and_empty_tables(spark, sf, odd, none):
+    """Nulls, blanks, repeated rows, a long text and further columns: each stage's result, and that of no rows."""
+    sizes = {i: len(brute.words(t)) for i, t, *_ in ROWS}
+    want = {
+        "line dedup": [(i, t) for (i, *_), t in zip(ROWS, brute.without_boilerplate([(r[3], r[1]) for r in ROWS], line_dedup.RATIO), strict=True)],
+        "near duplicates": [(r[0], r[1]) for r in ROWS[1:] if r[0] != 5],
+        "decontamination": [(r[0], r[1]) for r in ROWS],
+    }
     for name, stage in pipeline.STAGES:
         out = stage(spark, odd, sf)
         assert stage(spark, none, sf).count() == 0
-        if name != "mixing":
+        if name == "mixing":
+            got = out.collect()
+            assert sorted((str(r["doc_id"]), r["size"]) for r in got) == sorted((str(r[0]), sizes[r[0]]) for r in ROWS)
+            assert all(0 <= r["taken"] <= 3 * r["size"] for r in got)
+        else:
             assert out.columns == pipeline.COLUMNS
-        out.count()
+            got = [(r["doc_id"], r["text"]) for r in out.collect()]
+            if name == "language":
+                assert not {2, 3, 4} & {i for i, _ in got} and set(got) <= {(r[0], r[1]) for r in ROWS}
+            else:
+                assert sorted(got, key=str) == sorted(want[name], key=str)
 
 
 def test_copies_keep_one(spark, sf):

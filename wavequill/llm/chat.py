@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import same, stage, text_of
+from .common import same, stage, text_of, unstage
 
 #: Schemas of the registered query's calls: name -> field -> (JSON type, required). A field that isn't named isn't allowed.
 SCHEMAS = {
@@ -47,7 +47,8 @@ def depths(calls: DataFrame) -> DataFrame:
         # Only calls that still look back join; the others are done.
         open_ = state.where(F.col("up").isNotNull()).join(above, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("up") == F.col("_p")))
         moved = open_.select("conv_id", "call_id", F.col("_up").alias("up"), (F.col("depth") + F.col("_depth")).alias("depth"))
-        state = stage(state.where(F.col("up").isNull()).unionByName(moved), "depths")
+        before, state = state, stage(state.where(F.col("up").isNull()).unionByName(moved), "depths")
+        unstage(before)
     return state.select("conv_id", "call_id", F.when(F.col("up").isNull(), F.col("depth")).alias("depth"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import stage, unstage
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -21,7 +21,8 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node, root for every end of links (a, b): root is the smallest node that links reach. Null ends are left out."""
+    """node, root for every end of links (a, b), once each: root is the smallest node that links reach. Links with a null end or
+    two equal ends are left out, repeated ones count once. Empty tables give no rows."""
     edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     edges, before = stage(edges, "edges"), None
     while True:
@@ -29,6 +30,9 @@ def components(links: DataFrame) -> DataFrame:
         if state == before or not state["n"]:
             break
         before = state
-        edges = stage(_small_star(stage(_large_star(edges), "edges")), "edges")
+        large = stage(_large_star(edges), "edges")
+        unstage(edges)
+        edges = stage(_small_star(large), "edges")
+        unstage(large)
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
