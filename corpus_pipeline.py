@@ -15,12 +15,18 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text has a language that the network is sure enough of."""
+    """Documents whose text has a language that the network is sure enough of.
+
+    Null, empty and letterless texts go. Equal rows stay or go together. Empty tables give no rows.
+    """
     return language.accepted(docs.select(*COLUMNS))
 
 
 def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that a large share of their source's documents have; a text of such lines alone is empty."""
+    """Documents without the lines that a share of their source's other documents have; a text of such lines alone is empty.
+
+    All rows stay, repeated ones too. Null texts stay null, with null n_chars; null sources are one. Empty tables give no rows.
+    """
     kept = line_dedup.drop_lines(docs.select(*COLUMNS))
     return kept.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
@@ -35,7 +41,11 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any window of a benchmark item."""
+    """Documents without any window of a benchmark item.
+
+    Null and empty texts stay. All rows of a doc_id go with one of them, and those of null doc_ids together. Empty tables give
+    no rows, an empty benchmark takes none away.
+    """
     docs = docs.select(*COLUMNS)
     found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).where("contaminated")
     gone = stage(found.select(F.col("doc_id").alias("_gone")).distinct(), "contaminated")
@@ -43,7 +53,10 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How many words the mix takes of each document."""
+    """How many words the mix takes of each document: a row for every row, see mixing.mix(). Null and empty texts are not taken.
+
+    Repeated rows are documents of their own, null sources are one. Empty tables give no rows.
+    """
     return mixing.mix(docs)
 
 
