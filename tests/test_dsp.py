@@ -10,18 +10,20 @@ def direct(x, y, lags):
     return np.array([sum(x[i] * y[i + m] for i in range(max(0, -m), min(n, n - m))) for m in range(-lags, lags + 1)])
 
 
-def coda(stretch=0.0, n=2000, dt=0.01):
-    t = np.arange(n) * dt * (1 + stretch)
-    return np.exp(-(((t - 8) / 2) ** 2) / 2) * (np.sin(2 * np.pi * 4 * t) + 0.5 * np.sin(2 * np.pi * 6.5 * t))
+def reverberation(t):
+    """A dozen decaying tones."""
+    r = np.random.default_rng(11)
+    f, phase = r.uniform(1.5, 9, 12), r.uniform(0, 2 * np.pi, 12)
+    return np.exp(-t / 6) * np.cos(2 * np.pi * f[:, None] * t + phase[:, None]).sum(0)
 
 
 @pytest.mark.parametrize("f", [dsp.correlate_spectra, dsp.correlate_blocks])
 def test_correlation_is_the_direct_sum(rng, f):
-    x, y = rng.standard_normal((2, 3, 400)), rng.standard_normal((4, 3, 400))
-    r = f(x, y, 37)
-    want = np.mean([direct(x[1, s], y[2, s], 37) for s in range(3)], axis=0)
-    assert np.abs(r[1, 2] - want).max() < 1e-9 * np.abs(want).max()
-    assert np.allclose(f(y, x, 37)[2, 1], r[1, 2, ::-1])
+    x, y = rng.standard_normal((3, 5, 290)), rng.standard_normal((2, 5, 290))
+    r = f(x, y, 23)
+    want = np.mean([direct(x[2, s], y[1, s], 23) for s in range(5)], axis=0)
+    assert np.abs(r[2, 1] - want).max() < 1e-9 * np.abs(want).max()
+    assert np.allclose(f(y, x, 23)[1, 2], r[2, 1, ::-1])
 
 
 def test_blocks_of_any_size_agree(rng):
@@ -54,9 +56,9 @@ def test_planner_prefers_blocks_only_where_they_are_cheaper():
 
 
 def test_filter_gain_is_its_mask(rng):
-    x = rng.standard_normal((3, 4096))
-    a = dsp.bandpass(x, 100, 2, 10)
-    b = dsp.spectral_bandpass(x, 100, 2, 10)
+    x = rng.standard_normal((4, 6000))
+    a = dsp.bandpass(x, 80, 3, 14)
+    b = dsp.spectral_bandpass(x, 80, 3, 14)
     assert np.linalg.norm(a - b) / np.linalg.norm(a) < 5e-2
     impulse = np.zeros(8192)
     impulse[4096] = 1
@@ -87,30 +89,33 @@ def test_decimate():
         dsp.decimate(x, 100, 4, 13)
 
 
-def test_detrend_median_and_running_mean(noise_panel):
-    x = dsp.detrend(noise_panel)
-    assert np.abs(x.mean(-1)).max() < 1e-10 and np.abs((x * np.arange(4000)).sum(-1)).max() < 1e-5
+def test_detrend_median_and_running_mean(drifting_panel):
+    x = dsp.detrend(drifting_panel)
+    assert np.abs(x.mean(-1)).max() < 1e-10 and np.abs((x * np.arange(3000)).sum(-1)).max() < 1e-5
     y = dsp.running_absolute_mean(x, 25)
     size = np.abs(np.pad(x, [(0, 0), (12, 12)], mode="edge"))
-    want = x / np.stack([size[:, i : i + 25].mean(-1) for i in range(4000)], -1)
+    want = x / np.stack([size[:, i : i + 25].mean(-1) for i in range(3000)], -1)
     assert np.allclose(y, want)
     assert set(np.unique(dsp.running_absolute_mean(x, 1))) <= {-1.0, 0.0, 1.0}
     assert not dsp.running_absolute_mean(np.zeros((1, 30)), 5).any()
 
 
-def test_preprocess_modes(noise_panel):
-    a, b = (dsp.preprocess(noise_panel, 100, 2, 10, 0.5, m) for m in ("exact", "spectral"))
-    assert np.linalg.norm(a - b) / np.linalg.norm(a) < 0.1
+def test_preprocess_modes(drifting_panel):
+    a, b = (dsp.preprocess(drifting_panel, 100, 3, 20, 0.25, m) for m in ("exact", "spectral"))
+    assert a.shape == b.shape == drifting_panel.shape
+    assert min(np.corrcoef(x, y)[0, 1] for x, y in zip(a, b, strict=True)) > 0.98
     with pytest.raises(ValueError):
-        dsp.preprocess(noise_panel[0], 100, 2, 10)
+        dsp.preprocess(drifting_panel[0], 100, 3, 20)
 
 
-def test_whitening_is_flat_in_band():
-    t = np.arange(1024) / 100
-    x = np.sin(2 * np.pi * 5 * t) + 0.05 * np.sin(2 * np.pi * 15 * t) + 1e-6 * np.random.default_rng(1).standard_normal(1024)
-    f = np.fft.rfftfreq(1024, 0.01)
-    size = np.abs(np.fft.rfft(dsp.whiten(x, 100, 2, 20)))
-    assert np.abs(size[(f > 2.2) & (f < 19.8)] - 1).max() < 1e-3
+def test_whitening_is_flat_in_band(rng):
+    """Whatever the spectrum was: here noise that grows weaker with frequency."""
+    x = np.cumsum(rng.standard_normal((3, 900)), axis=-1)
+    f = np.fft.rfftfreq(900, 1 / 60)
+    size = np.abs(np.fft.rfft(dsp.whiten(x, 60, 4, 18)))
+    assert np.abs(size[:, (f > 4.3) & (f < 17.7)] - 1).max() < 1e-6
+    # It rises from nothing at 0 and falls to nothing at the last frequency.
+    assert (np.diff(size[:, f < 4], axis=1) > 0).all() and (np.diff(size[:, f > 18], axis=1) < 0).all() and size[:, [0, -1]].max() < 1e-9
     assert not dsp.whiten_spectrum(np.ones(10, complex), 1.0, 0, 5, 5).any()
     level = dsp.whiten_spectrum(np.ones(65, complex), 1.0, 5.0, 10, 50)
     assert np.allclose(np.abs(level[12:48]), 1)
@@ -159,23 +164,26 @@ def test_ridge_follows_a_slope():
         assert np.abs(dsp.follow_ridge(image, seeds, 2) - (10 + np.arange(40))).max() <= 0
 
 
-@pytest.mark.parametrize("eps", [-0.02, 0.0, 0.012])
+@pytest.mark.parametrize("eps", [-0.013, 0.004, 0.021])
 def test_stretch(eps):
-    t = np.arange(2000) * 0.01
-    found, cc = dsp.stretch(coda(), coda(eps), t, 3, 15, 0.03, 121)
-    assert abs(found / 100 - eps) <= 0.0006 and cc > 0.95
-    assert dsp.stretch(coda(), coda(), t, 30, 40, 0.03, 5)[1] == 0.0
-
-
-def test_delays():
-    t, shifts = (np.arange(512) - 256) * 0.01, np.array([0, 2, -3, 5, 1])
-    a = [(np.pi * 8 * (t - s * 0.01)) ** 2 for s in shifts]
-    x = np.stack([(1 - 2 * b) * np.exp(-b) for b in a]) + 0.001 * np.random.default_rng(0).standard_normal((5, 512))
-    cc, lag = dsp.pair_delays(x, 0.01)
-    i, j = np.nonzero(np.triu(cc > 0.5, 1))
-    got = dsp.solve_delays(i, j, lag[i, j], 5)
-    assert np.abs(got - (shifts - shifts.mean()) * 0.01).max() < 0.006 and abs(got.sum()) < 1e-6
-    assert np.allclose(lag[i, j], (shifts[i] - shifts[j]) * 0.01)
+    """The stretch is found on its grid, to the nearest value."""
+    t, most, steps = np.arange(1500) * 0.02, 0.025, 51
+    found, cc = dsp.stretch(reverberation(t), reverberation(t * (1 + eps)), t, 4, 22, most, steps)
+    assert found / 100 == pytest.approx(eps, abs=most / (steps - 1)) and cc > 0.9
+    assert dsp.stretch(reverberation(t), reverberation(t), t, 31, 40, most, 5)[1] == 0.0
+
+
+def test_delays(rng):
+    """Bursts shifted by whole samples: pairs give the differences, the solution the shifts about their mean."""
+    dt, shifts = 0.005, np.array([4, -7, 0, 11, -2, 3])
+    t = np.arange(-200, 200) * dt
+    late = t - shifts[:, None] * dt
+    x = np.exp(-((late / 0.07) ** 2)) * np.cos(2 * np.pi * 6 * late + 0.4) + 0.005 * rng.standard_normal((6, 400))
+    cc, lag = dsp.pair_delays(x, dt)
+    i, j = np.nonzero(np.triu(cc > 0.8, 1))
+    assert len(i) == 15 and np.allclose(lag[i, j], (shifts[i] - shifts[j]) * dt)
+    got = dsp.solve_delays(i, j, lag[i, j], 6)
+    assert np.allclose(got, (shifts - shifts.mean()) * dt, atol=dt / 10)
 
 
 def test_similarity_power_and_attenuation(rng):

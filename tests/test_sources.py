@@ -17,18 +17,18 @@ def save(path, data, **parts):
 
 def test_archives(spark, tmp_path, rng):
     x = rng.standard_normal((3, 40)).astype(np.float32)
-    save(tmp_path / "a/20250722_025000_test.npz", x, dt=0.02, dx=8.0, start_sample=0, end_sample=40)
-    save(tmp_path / "20250723_000000_test.npz", x, dt=0.02)
+    save(tmp_path / "a/20230314_150926_site.npz", x, dt=0.005, dx=2.5, start_sample=0, end_sample=40)
+    save(tmp_path / "20230316_000000_site.npz", x, dt=0.005)
     got = {r.t0: r for r in archives.read_npz(spark, str(tmp_path)).collect()}
-    one = got[datetime(2025, 7, 22, 2, 50)]
-    assert one.fs == pytest.approx(50) and (one.nch, one.nt, one.tag, one.dx) == (3, 40, "test", 8.0)
-    assert np.array_equal(np.array(one.x, np.float32).reshape(3, 40), x) and got[datetime(2025, 7, 23)].dx is None
-    rows = archives.traces(archives.read_npz(spark, str(tmp_path))).where(F.col("dx") == 8).orderBy("row").collect()
+    one = got[datetime(2023, 3, 14, 15, 9, 26)]
+    assert one.fs == pytest.approx(200) and (one.nch, one.nt, one.tag, one.dx) == (3, 40, "site", 2.5)
+    assert np.array_equal(np.array(one.x, np.float32).reshape(3, 40), x) and got[datetime(2023, 3, 16)].dx is None
+    rows = archives.traces(archives.read_npz(spark, str(tmp_path))).where(F.col("dx") == 2.5).orderBy("row").collect()
     assert np.allclose([r.x for r in rows], x)
 
 
 def test_bad_archives(spark, tmp_path):
-    save(tmp_path / "20250722_000000_a.npz", np.zeros((2, 3)))
+    save(tmp_path / "20230314_000000_a.npz", np.zeros((2, 3)))
     with pytest.raises(Exception, match="has no dt"):
         archives.read_npz(spark, str(tmp_path)).collect()
     assert archives.read_npz(spark, str(tmp_path), strict=False).count() == 0
@@ -38,7 +38,7 @@ def test_bad_archives(spark, tmp_path):
 
 def test_zarr(spark, tmp_path):
     x = np.arange(20, dtype="<f4").reshape(4, 5)
-    store = tmp_path / "20250722_000000_z.zarr"
+    store = tmp_path / "20230314_000000_z.zarr"
     (store / "data").mkdir(parents=True)
     (store / "data/.zarray").write_text(json.dumps({"shape": [4, 5], "chunks": [3, 5], "dtype": "<f4", "compressor": None, "fill_value": 0, "order": "C"}))
     (store / "data/0.0").write_bytes(x[:3].tobytes())
