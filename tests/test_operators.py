@@ -98,6 +98,48 @@ def test_rolling_stack_and_coverage(spark):
     assert stacking.plan({"stacking": {"windows": {"7d": True, "15d": False, "x": True}}}) == [("1d", 0.0), ("7d", 0.9)]
 
 
+def test_stacks_of_arrays(spark, rng):
+    """Means of whole arrays by day, over a week of days of which some are missing, and over all time; by key, null keys too."""
+    days, r = [0, 1, 2, 4, 5, 6, 9], rng.standard_normal((3, 7, 2, 5))
+    rows = [(vs, datetime(2024, 5, 1, 3 * h) + timedelta(days=d), r[k, j, h].tolist()) for k, vs in enumerate((0, 4, None)) for j, d in enumerate(days) for h in range(2)]
+    rows += [(0, datetime(2024, 5, 1), None), (0, datetime(2024, 5, 2), [1.0])]
+    df = spark.createDataFrame(rows, "vs int, t0 timestamp, r array<double>").repartition(3)
+    config = {"stacking": {"base_stack": "1d", "min_frac": 0.7, "windows": {"7d": True}}}
+    got = {(x.window, x.vs, x.end): (x.n, x.r) for x in stacking.run_plan(df, config, ["vs"]).collect()}
+    want = {}
+    for k, vs in enumerate((0, 4, None)):
+        for j, d in enumerate(days):
+            end = datetime(2024, 5, 1) + timedelta(days=d)
+            want["1d", vs, end] = (2, r[k, j].mean(0))
+            near = [i for i, x in enumerate(days) if d - 6 <= x <= d]
+            if len(near) >= 5:
+                want["7d", vs, end] = (len(near), r[k, near].mean((0, 1)))
+    assert set(got) == set(want) and all(got[k][0] == n and np.allclose(got[k][1], m) for k, (n, m) in want.items())
+    base = stacking.base_stack_arrays(df, "1d", ["vs"])
+    ref = stacking.reference_arrays(base, ["vs"]).collect()
+    assert len(ref) == 21 and all(np.allclose(x.ref, r[(0, 4, None).index(x.vs)].mean((0, 1))) for x in ref)
+    none = df.limit(0)
+    assert stacking.run_plan(none, config, ["vs"]).count() == 0 and stacking.reference_arrays(none, ["vs"]).count() == 0
+    for bad in ({"base_stack": "2d", "windows": {"7d": True}}, {"base_stack": "1d", "min_frac": 2}):
+        with pytest.raises(ValueError):
+            stacking.run_plan(df, {"stacking": bad}, ["vs"])
+
+
+def test_attenuation_by_side(spark):
+    """Each side's own quality factor, where enough live traces are; a dead trace counts for nothing."""
+    f, speed, q = np.fft.rfftfreq(256, 0.01), 300.0, {"right": 25.0, "left": 60.0}
+    rows = []
+    for side, sign, n in (("right", 1, 7), ("left", -1, 6)):
+        for k in range(1, n + 1):
+            x = np.fft.irfft(np.exp(-np.pi * f * 15.0 * k / (q[side] * speed)))
+            rows.append(("g", 0, sign * 15.0 * k, x.tolist()))
+    rows += [("g", 0, 0.0, [1.0] * 256), ("g", 0, 500.0, [0.0] * 256)] + [("few", 0, 15.0 * k, [1.0] * 128 + [0.0] * 128) for k in range(1, 6)]
+    df = spark.createDataFrame(rows, "gather string, vs int, offset double, r array<double>")
+    got = {r.side: r for r in delays.attenuation_by_side(df, 100.0, speed, 1, 5.0, 30.0).collect()}
+    assert {s: (r.gather, r.n) for s, r in got.items()} == {"right": ("g", 7), "left": ("g", 6)}
+    assert all(got[s].q == pytest.approx(q[s], rel=1e-6) and got[s].r2 == pytest.approx(1) for s in q)
+
+
 def test_median_segments_and_channel_window(spark, rng):
     x = rng.standard_normal((4, 10))
     got = traces.subtract_median(frame(spark, x)).collect()
@@ -276,8 +318,10 @@ def test_inversion_of_rayleigh_waves(spark):
 def test_registered_inversion_and_sensitivity(spark, monkeypatch):
     """The search has the reference's size, and the kernels are of every model of the table."""
     asked = {}
-    monkeypatch.setattr(catalogue.inversion, "invert", lambda curves, bounds, **by: asked.update(by, layers=len(bounds)) or curves)
+    monkeypatch.setattr(catalogue.inversion, "invert", lambda curves, bounds, **by: asked.update(by, layers=len(bounds)) or curves.withColumns({"run": F.lit(0), "model": F.lit(0)}))
     monkeypatch.setattr(catalogue, "rounded", lambda df, *a: df)
+    monkeypatch.setattr(catalogue.inversion, "best_share", lambda df, *a: df)
+    monkeypatch.setattr(catalogue.inversion, "mean_model", lambda df, **by: df)
     if not os.path.isdir("/root/testdata/sf0.001"):
         pytest.skip("no tables here")
     catalogue.QUERIES["invert_curves"](spark, "/root/testdata/sf0.001")

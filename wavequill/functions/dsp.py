@@ -313,6 +313,47 @@ def correlate_blocks(x: np.ndarray, y: np.ndarray, lags: int, block: int | None
     return np.concatenate([r[..., nfft - lags :], r[..., : lags + 1]], -1) / segments
 
 
+def autocorrelate(x: np.ndarray, lags: int) -> np.ndarray:
+    """(traces, 2 lags + 1): each trace of x (traces, segments, samples) with itself, the mean over segments."""
+    nfft = next_pow2(x.shape[-1] + lags)
+    r = np.fft.irfft((np.abs(np.fft.rfft(x, nfft)) ** 2).mean(-2), nfft)
+    return np.concatenate([r[..., nfft - lags :], r[..., : lags + 1]], -1)
+
+
+def best_shift(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """(traces, 2): the lag by which y follows x most, and their sum of products there; lags of a crop of n about the middle of
+    all 2 n - 1, of equal ones the first."""
+    n = x.shape[-1]
+    nfft, first = next_pow2(2 * n - 1), -(n // 2)
+    r = np.fft.irfft(np.conj(np.fft.rfft(x, nfft)) * np.fft.rfft(y, nfft), nfft)
+    r = r[:, np.arange(first, first + n) % nfft]
+    at = r.argmax(-1)
+    return np.stack([at + first, r[np.arange(len(r)), at]], -1)
+
+
+def stretched(x: np.ndarray, references: np.ndarray, most: float, steps: int) -> np.ndarray:
+    """(traces, 2): the stretch in percent, from the traces' start, that makes each one's reference most like it, and how like.
+
+    Every different reference is stretched once a step, whatever number of traces it serves; of equal steps the first wins.
+    """
+    refs, which = np.unique(references, axis=0, return_inverse=True)
+    which, n = which.ravel(), references.shape[-1]
+    size, i = (x * x).sum(-1), np.arange(x.shape[-1])
+    best = np.full((len(x), 2), -np.inf)
+    for k in range(steps):
+        eps = -most + k * (2 * most / (steps - 1))
+        u = i * (1 + eps)
+        inside = (u >= 0) & (u <= n - 1)
+        j = np.clip(np.floor(u).astype(int), 0, n - 1)
+        moved = np.where(inside, refs[:, j] + (u - j) * (refs[:, np.minimum(j + 1, n - 1)] - refs[:, j]), 0.0)
+        norm = np.sqrt((moved * moved).sum(-1)[which] * size)
+        dots = (moved[which] * x).sum(-1)
+        cc = np.divide(dots, norm, out=np.zeros(len(x)), where=norm > 0)
+        better = cc > best[:, 1]
+        best[better] = np.stack([np.full(better.sum(), eps * 100), cc[better]], -1)
+    return best
+
+
 # Wavefields
 
 
@@ -383,7 +424,9 @@ def phase_velocity_image(x, offsets, dt, vmin, vmax, dv, fmin, fmax, normalise=T
     v = np.arange(vmin, vmax + dv, dv)
     spectrum = np.fft.rfft(x, nfft)[:, inside]
     phase = spectrum / (np.abs(spectrum) + 1e-8)
-    image = np.abs(np.einsum("rf,rvf->vf", phase, np.exp(2j * np.pi * offsets[:, None, None] * f / v[None, :, None])))
+    image, turn = np.empty((len(v), len(f))), 2j * np.pi * offsets[:, None] * f
+    for k, speed in enumerate(v):  # one velocity at a time: memory of a gather's spectrum
+        image[k] = np.abs((phase * np.exp(turn / speed)).sum(0))
     if normalise:
         top = image.max(axis=0)
         image = image / np.where(top == 0, 1, top)
@@ -447,14 +490,17 @@ def pair_delays(x: np.ndarray, dt: float) -> tuple[np.ndarray, np.ndarray]:
 
 
 def solve_delays(i: np.ndarray, j: np.ndarray, lag: np.ndarray, n: int, damp: float = 0.0) -> np.ndarray:
-    """Delays of n traces, of sum 0, from the lags of pairs i < j; damp weighs their differences between neighbours."""
-    rows = len(i) + 1 + max(n - 1, 0)
-    g, d = np.zeros((rows, n)), np.zeros(rows)
-    k = np.arange(len(i))
-    g[k, i], g[k, j], d[: len(i)] = 1, -1, lag
-    g[len(i)] = 1
-    for m in range(n - 1):
-        g[len(i) + 1 + m, m : m + 2] = -damp, damp
+    """Delays of n traces, of sum 0, from the lags of pairs i < j; damp weighs their differences between neighbours.
+
+    By the normal equations, which have n rows however many pairs there are; of several solutions the least.
+    """
+    g, d = np.ones((n, n)), np.zeros(n)
+    near = np.arange(n - 1)
+    for a, b, w in ((i, j, 1.0), (near, near + 1, damp**2)):
+        for x, y, sign in ((a, a, w), (b, b, w), (a, b, -w), (b, a, -w)):
+            np.add.at(g, (x, y), sign)
+    np.add.at(d, i, lag)
+    np.add.at(d, j, -np.asarray(lag))
     return np.linalg.lstsq(g, d, rcond=None)[0]
 
 

@@ -110,6 +110,12 @@ def spatial_mean(spark, sf):
     return rounded(traces.spatial_mean(panel(spark, sf), 5).select("gather", "ch", "i", "x"))
 
 
+def tukey_at(i: str, n: str, alpha: float) -> str:
+    """The taper's weight where n is a column too."""
+    near, edge = f"least({i}, {n} - 1 - {i})", f"({alpha!r}::DOUBLE * ({n} - 1) / 2)"
+    return f"CASE WHEN {near} < {edge} THEN 0.5 * (1 + cos(pi() * ({near} / {edge} - 1))) ELSE 1 END"
+
+
 def tukey_sql(i: str, n: int, alpha: float) -> str:
     near = f"least({i}, {n - 1} - {i})"
     edge = alpha * (n - 1) / 2
@@ -225,6 +231,26 @@ for _label, _interval in (("1h", "1 hour"), ("1d", "1 day"), ("2d", "2 days")):
     _base(_label, _interval)
 
 
+@query()
+def ncf_pipeline(spark, sf):
+    """From whole panels to correlations: window of channels, preprocessing, whitening, segments, sources with receivers."""
+    rows = panel(spark, sf).groupBy("gather").agg(F.array_sort(F.collect_list(F.struct("r", "x"))).alias("t"))
+    panels = rows.select(F.concat(F.lit("p"), "gather").alias("file"), F.timestamp_seconds(F.lit(1_704_067_200) + F.col("gather") * 60).alias("t0"), F.lit(FS).alias("fs"), F.size("t").alias("nch"), F.flatten(F.transform("t", lambda p: p["x"])).cast("array<float>").alias("x"))
+    config = {"data": {"fs_raw": FS, "first_chan": 0, "last_chan": 39, "src_stride": 10, "min_length_sec": 1}, "preprocess": {"f1": 4.0, "f2": 20.0, "mode": "spectral"}, "xcorr": {"max_lag_sec": 0.125, "xcorr_seg_sec": 0.5}}
+    flat = correlate.correlate_panels(panels, config).select("file", F.col("t0").cast("timestamp_ntz").alias("t0"), "vs", "ch", F.posexplode("r").alias("i", "r"))
+    return flat.select("file", "t0", "vs", "ch", (F.col("i") - 8).alias("lag"), (F.round(F.col("r").cast("double"), 4) + 0.0).alias("r"))
+
+
+@query(f"WITH {G}, s AS (SELECT gather, vs, ch, abs(o) AS o, CASE WHEN o > 0 THEN 'right' ELSE 'left' END AS side, lag + 31 AS i, x FROM g WHERE o <> 0), {dft('s', n=63, keys='gather, vs, side, ch, o')}, "
+       "a AS (SELECT gather, vs, side, o, k * 64 / 63.0::DOUBLE AS f, sum(sqrt(re * re + im * im)) OVER (PARTITION BY gather, vs, side, o ORDER BY k ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) / 5 AS a FROM d), "
+       "j AS (SELECT a.gather, a.vs, a.side, ln((b.a + 1e-15) / (a.a + 1e-15)) AS y, pi() * (a.o - b.o) * a.f / 100 AS t FROM a JOIN a b ON a.gather = b.gather AND a.side = b.side AND a.f = b.f AND b.o = 1 WHERE a.f BETWEEN 2 AND 20), "
+       "n AS (SELECT gather, side, count(DISTINCT ch) AS n FROM s GROUP BY ALL) "
+       "SELECT gather, vs, side, n, round(regr_slope(y, t), 6) + 0.0 AS slope, round(CASE WHEN regr_slope(y, t) > 0 THEN 1 / regr_slope(y, t) END, 3) + 0.0 AS q, round(regr_r2(y, t), 6) + 0.0 AS r2 FROM j JOIN n USING (gather, side) WHERE n >= 6 GROUP BY gather, vs, side, n")
+def attenuation_sides(spark, sf):
+    out = delays.attenuation_by_side(gather_of(spark, sf), FS, 100.0, 5, 2.0, 20.0)
+    return out.select("gather", "vs", "side", "n", (F.round("slope", 6) + 0.0).alias("slope"), (F.round("q", 3) + 0.0).alias("q"), (F.round("r2", 6) + 0.0).alias("r2"))
+
+
 def _rolling(name: str, label: str, days: int, keys: list[str], min_frac: float, by_steps: bool = False):
     cols = ", ".join(keys)
     need = max(1, math.ceil(days * min_frac))
@@ -258,6 +284,36 @@ def resume_antijoin(spark, sf):
     return sinks.pending(wanted, done, ["o_orderkey"])
 
 
+A = "a AS (SELECT gather AS vs, ch % 20 AS d, i, avg(x) AS x, count(*) AS n FROM s GROUP BY ALL)"
+
+
+def daily_arrays(spark, sf) -> DataFrame:
+    """vs, t0, r: traces as correlations of twenty days, some a day."""
+    when = F.timestamp_seconds(F.lit(1_704_067_200) + F.col("ch") % 20 * 86_400 + F.col("ch") % 24 * 3600)
+    return panel(spark, sf).select(F.col("gather").alias("vs"), when.alias("t0"), F.col("x").alias("r"))
+
+
+def day_rows(df: DataFrame, columns: list[str], value: str = "r") -> DataFrame:
+    flat = df.select(*columns, F.col("end").cast("timestamp_ntz").alias("w"), F.posexplode(value).alias("i", "x"))
+    return rounded(flat)
+
+
+@query(f"""WITH {S}, {A}, r AS (SELECT vs, d, i, avg(x) AS x, count(*) AS n FROM (SELECT k.vs, k.d, a.i, a.x FROM (SELECT DISTINCT vs, d FROM a) k JOIN a ON k.vs = a.vs AND a.d BETWEEN k.d - 6 AND k.d) GROUP BY vs, d, i)
+SELECT z AS "window", vs, TIMESTAMP '2024-01-01' + to_days(CAST(d AS INTEGER)) AS w, i, round(x, 6) + 0.0 AS x, n FROM (SELECT '1d' AS z, * FROM a UNION ALL SELECT '7d', * FROM r WHERE n >= 5)""")
+def stack_arrays(spark, sf):
+    """Daily stacks of whole correlations, and those of seven days of which five are there."""
+    config = {"stacking": {"base_stack": "1d", "min_frac": 0.7, "windows": {"7d": True}}}
+    return day_rows(stacking.run_plan(daily_arrays(spark, sf), config, ["vs"]), ["window", "vs", "n"])
+
+
+@query(f"""WITH {S}, {A} SELECT vs, TIMESTAMP '2024-01-01' + to_days(CAST(d AS INTEGER)) AS w, i, round(x, 6) + 0.0 AS x, round(avg(x) OVER (PARTITION BY vs, i), 6) + 0.0 AS ref FROM a""")
+def ref_stack_arrays(spark, sf):
+    base = stacking.base_stack_arrays(daily_arrays(spark, sf), "1d", ["vs"])
+    both = stacking.reference_arrays(base, ["vs"])
+    flat = both.select("vs", F.col("end").cast("timestamp_ntz").alias("w"), F.posexplode(F.arrays_zip("r", "ref")).alias("i", "p"))
+    return rounded(flat.select("vs", "w", "i", F.col("p.r").alias("x"), F.col("p.ref").alias("ref")))
+
+
 # Gathers
 
 
@@ -670,7 +726,11 @@ def batch_process(spark, sf):
     return gather_rows(gathers.polished(gather_of(spark, sf), 1 / FS, 1.0, 20.0, 200.0, 20, far=30.0, cut=2.0, width=4.0), -20)
 
 
-@query()
+TARGETED = tukey_at("j", "n", 0.1)
+
+
+@query(f"""WITH {G}, c AS (SELECT gather, ch, o, abs(lag) AS lag, x FROM g WHERE o BETWEEN 1 AND 30 AND lag BETWEEN -20 AND 0),
+n AS (SELECT *, dense_rank() OVER (PARTITION BY gather ORDER BY o, ch) - 1 AS j, count(*) OVER (PARTITION BY gather, lag) AS n FROM c) SELECT gather, ch, o AS "offset", lag, round(x * {TARGETED}, 6) + 0.0 AS x FROM n""")
 def targeted_export(spark, sf):
     return gather_rows(gathers.targeted(gather_of(spark, sf), 0, 20, 20, 1.0, 30.0, "right"), 0)
 
@@ -707,7 +767,10 @@ def ssim(spark, sf):
     return rounded(fidelity.similarity(image.withColumn("b", F.floor(F.col("a") * 2 + 0.5) / 2.0), ["gather"]))
 
 
-@query()
+@query(f"""WITH {S}, m AS (SELECT gather, i, avg(x) AS x FROM s GROUP BY ALL), w AS (SELECT i, {tukey_sql('i', 17, 0.25)} AS w FROM (SELECT CAST(unnest(range(16)) AS INTEGER) AS i)),
+o AS (SELECT gather, t, i - 14 * t AS i, x - avg(x) OVER (PARTITION BY gather, t) AS x FROM m, (SELECT CAST(unnest(range(4)) AS INTEGER) AS t) WHERE i BETWEEN 14 * t AND 14 * t + 15),
+y AS (SELECT gather, t, i, x * w AS x FROM o JOIN w USING (i)), {dft('y', n=16, keys='gather, t')}
+SELECT gather, t, CAST(k AS INTEGER) AS k, k * 4.0::DOUBLE AS f, round(10 * log10((re * re + im * im) * CASE WHEN k IN (0, 8) THEN 1 ELSE 2 END / (64 * (SELECT sum(w * w) FROM w)) + 1e-12), 4) + 0.0 AS db FROM d""")
 def spectrogram(spark, sf):
     return rounded(diagnostics.spectrogram(traces.samples(panel(spark, sf)), FS, 16), 4)
 
@@ -733,9 +796,12 @@ def smooth_section(spark, sf):
 
 @query()
 def invert_curves(spark, sf):
+    """The mean of the fifth of all models tried for a station that fit best, run by run taken together, with their misfits."""
     curves = imaging.regularise(picks(spark, sf).select("dist", "f", "v"), 1.0, 9.0, 2.0).select(F.col("dist").alias("station"), "f", "v")
     layers = [(5, 20, 100, 400), (10, 30, 200, 550), (15, 40, 300, 650), (15, 35, 400, 800), (50, 100, 500, 950)]
-    return rounded(inversion.invert(curves, [(*x, 0.32, 0.34) for x in layers], runs=5, particles=20, steps=1500, wave="rayleigh"))
+    tried = inversion.invert(curves, [(*x, 0.32, 0.34) for x in layers], runs=5, particles=20, steps=1500, wave="rayleigh")
+    tried = tried.withColumn("model", F.col("run") * F.lit(1 << 32) + F.col("model"))
+    return rounded(inversion.mean_model(inversion.best_share(tried, 20.0), columns=("h", "vs", "poisson", "misfit")))
 
 
 @query()
