@@ -10,15 +10,15 @@ from pyspark.sql.window import Window
 
 from ..functions import dsp
 
+#: Tasks that stations are dealt out to, at most.
+MAX_TASKS = 10_000
+
 
 def best_share(models: DataFrame, percent: float, keys=("station",), one_more: bool = True) -> DataFrame:
     """The rows of the percent of a station's models with the least misfit, and one more. models: keys, model, misfit, .."""
-    ids = models.select(*keys, "model", "misfit").distinct()
-    order = Window.partitionBy(*keys).orderBy("misfit", "model")
-    total = ids.groupBy(*keys).agg(F.count("*").alias("_n"))
-    placed = ids.withColumn("_i", F.row_number().over(order)).join(total, list(keys))
-    chosen = placed.where(F.col("_i") <= F.floor(F.col("_n") * percent / 100) + int(one_more)).select(*keys, "model")
-    return models.join(chosen, [*keys, "model"], "left_semi")
+    every = Window.partitionBy(*keys)
+    placed = models.withColumn("_i", F.dense_rank().over(every.orderBy("misfit", "model"))).withColumn("_n", F.max("_i").over(every))
+    return placed.where(F.col("_i") <= F.floor(F.col("_n") * percent / 100) + int(one_more)).drop("_i", "_n")
 
 
 def mean_model(models: DataFrame, keys=("station",), columns=("h", "vs")) -> DataFrame:
@@ -161,8 +161,8 @@ def _modelled(wave: str, h: np.ndarray, vs: np.ndarray, poisson: np.ndarray | No
 
 
 def invert(curves: DataFrame, bounds: list[tuple[float, ...]], runs: int = 2, particles: int = 20, steps: int = 30, seed: int = 42, keys=("station",), wave: str = "love") -> DataFrame:
-    """keys, run, model, layer, h, vs, misfit: layered models of shear velocity by a competing swarm, each run of a station in a
-    task of its own. curves: keys, f, v. bounds: h_min, h_max, vs_min, vs_max of each layer, the half-space last, and for all or
+    """keys, run, model, layer, h, vs, misfit: layered models of shear velocity by a competing swarm, runs times for each
+    station. curves: keys, f, v. bounds: h_min, h_max, vs_min, vs_max of each layer, the half-space last, and for all or
     none least and greatest Poisson's ratios, which are searched then and returned as poisson. Velocities that don't grow with
     depth are put in order. Every model that was tried is returned once.
 
@@ -174,39 +174,45 @@ def invert(curves: DataFrame, bounds: list[tuple[float, ...]], runs: int = 2, pa
     def run(key, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("f")
         f, v = frame["f"].to_numpy(), frame["v"].to_numpy()
-        rng = np.random.default_rng(seed + int(key[-1]))
+        streams = [np.random.default_rng(seed + r) for r in range(runs)]
+        draw = lambda *shape: np.stack([g.random((*shape, *low.shape)) for g in streams])
         order = lambda x: np.concatenate([x[..., :1], np.sort(x[..., 1:2], axis=-2), x[..., 2:]], -1)
 
         def misfits(m):
-            got = _modelled(wave, m[:, :-1, 0], m[:, :, 1], m[:, :, 2] if ratios else None, f)
+            flat = m.reshape(-1, *low.shape)
+            got = _modelled(wave, flat[:, :-1, 0], flat[:, :, 1], flat[:, :, 2] if ratios else None, f)
             some = np.isfinite(got).any(1)
-            out = np.full(len(m), np.inf)
+            out = np.full(len(flat), np.inf)
             out[some] = np.sqrt(np.nanmean((got[some] - v) ** 2, axis=1))
-            return out
+            return out.reshape(m.shape[:2])
 
-        swarm = order(low + rng.random((particles, *low.shape)) * (high - low))
-        speed, costs = np.zeros_like(swarm), misfits(swarm)
+        # All runs go together, each with random numbers of its own, so that few large arrays are worked on.
+        swarm = order(low + draw(particles) * (high - low))
+        speed, costs, row = np.zeros_like(swarm), misfits(swarm), np.arange(runs)[:, None]
         seen, seen_costs = [swarm.copy()], [costs.copy()]
         for _ in range(steps):
             # Particles meet in pairs; the worse learns from the better.
-            pairs = rng.permutation(particles)
-            a, b = pairs[::2][: particles // 2], pairs[1::2]
-            win, lose = np.where(costs[a] <= costs[b], a, b), np.where(costs[a] <= costs[b], b, a)
-            r = rng.random((len(lose), 3, *low.shape))
-            speed[lose] = r[:, 0] * speed[lose] + r[:, 1] * (swarm[win] - swarm[lose]) + 0.1 * r[:, 2] * (swarm.mean(0) - swarm[lose])
-            swarm[lose] = order(np.clip(swarm[lose] + speed[lose], low, high))
-            costs[lose] = misfits(swarm[lose])
-            seen.append(swarm[lose])
-            seen_costs.append(costs[lose])
-        models, cost = np.concatenate(seen), np.concatenate(seen_costs)
-        kept = np.flatnonzero(np.isfinite(cost))
-        n, m = len(low), models[kept].reshape(-1, low.shape[1])
-        found = {"model": np.repeat(kept, n), "layer": np.tile(np.arange(n), len(kept)), "h": m[:, 0], "vs": m[:, 1], **({"poisson": m[:, 2]} if ratios else {}), "misfit": np.repeat(cost[kept], n)}
-        return pd.DataFrame({**{k: np.repeat(x, len(m)) for k, x in zip([*keys, "run"], key, strict=True)}, **found})
+            pairs = np.stack([g.permutation(particles) for g in streams])
+            a, b = pairs[:, ::2][:, : particles // 2], pairs[:, 1::2]
+            first = costs[row, a] <= costs[row, b]
+            win, lose = np.where(first, a, b), np.where(first, b, a)
+            r = draw(lose.shape[1], 3)
+            mine, mean = swarm[row, lose], swarm.mean(1, keepdims=True)
+            speed[row, lose] = r[:, :, 0] * speed[row, lose] + r[:, :, 1] * (swarm[row, win] - mine) + 0.1 * r[:, :, 2] * (mean - mine)
+            swarm[row, lose] = order(np.clip(mine + speed[row, lose], low, high))
+            costs[row, lose] = misfits(swarm[row, lose])
+            seen.append(swarm[row, lose])
+            seen_costs.append(costs[row, lose])
+        models, cost = np.concatenate(seen, 1), np.concatenate(seen_costs, 1)
+        of_run, kept = np.nonzero(np.isfinite(cost))
+        n, m = len(low), models[of_run, kept].reshape(-1, low.shape[1])
+        found = {"run": np.repeat(of_run, n), "model": np.repeat(kept, n), "layer": np.tile(np.arange(n), len(kept)), "h": m[:, 0], "vs": m[:, 1], **({"poisson": m[:, 2]} if ratios else {}), "misfit": np.repeat(cost[of_run, kept], n)}
+        return pd.DataFrame({**{k: np.repeat(x, len(m)) for k, x in zip(keys, key, strict=True)}, **found})
 
     types = ", ".join(f"{k} {curves.schema[k].dataType.simpleString()}" for k in keys)
-    tasks = curves.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))))
-    return tasks.groupBy(*keys, "run").applyInPandas(run, f"{types}, run int, model long, layer long, h double, vs double, {'poisson double, ' if ratios else ''}misfit double")
+    # A curve is little data and much work, so curves are dealt out by number and not by size.
+    tasks = max(1, min(MAX_TASKS, curves.select(*keys).distinct().count()))
+    return curves.repartition(tasks, *keys).groupBy(*keys).applyInPandas(run, f"{types}, run int, model long, layer long, h double, vs double, {'poisson double, ' if ratios else ''}misfit double")
 
 
 def sensitivity(models: DataFrame, freqs: list[float], step: float = 0.01, keys=("station",), wave: str = "love") -> DataFrame:
