@@ -21,8 +21,13 @@ DELIMITER = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: No table of more rows than this is broadcast, nor a staged one of more bytes; beyond it the same join shuffles, or runs in blocks.
 BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 32 << 20
 
-#: Spark's setting by which the shuffle files of a query are removed at its end, and not when the driver collects garbage.
-SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Spark's settings while a table is staged: the shuffle files of a query are removed at its end, and not when the driver
+#: collects garbage; and Python gets batches of so many rows and bytes, which the executor holds beside its heap.
+WHILE_STAGED = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
+}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,12 +69,14 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(SHUFFLES_GO, None)
-    spark.conf.set(SHUFFLES_GO, "true")
+    before = {key: spark.conf.get(key, None) for key in WHILE_STAGED}
     try:
+        for key, value in WHILE_STAGED.items():
+            spark.conf.set(key, value)
         df.write.parquet(path)
     finally:
-        spark.conf.unset(SHUFFLES_GO) if before is None else spark.conf.set(SHUFFLES_GO, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
     found = spark.read.schema(df.schema).parquet(path)
     found.staged_at = path
     return found

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from . import gru
 from .common import small, stage
+from .shingles import parts
 
 #: Windows to learn from, about (each of a document of its own): of a language at most, and of all languages together.
 PER_LANGUAGE, MAX_TRAIN = 1500, 400_000
@@ -58,20 +59,12 @@ def predict(docs: DataFrame, model: dict | None, languages: list[str], text: str
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
-            texts = batch.column(text).to_pylist()
-            raw = [t.encode("utf-8", "replace") if t and any(map(str.isalpha, t)) else b"" for t in texts]
-            said, score, size = [], [], 0
-            begin = 0
-            for i, b in enumerate(raw):
-                size += len(b)
-                if size > 4_000_000 or i == len(raw) - 1:
-                    mine = raw[begin : i + 1]
-                    p = gru.pooled(model, mine) if model else np.zeros((len(mine), 1))
-                    best = p.argmax(axis=1)
-                    said += [languages[c] if b and model else UNKNOWN for c, b in zip(best, mine, strict=True)]
-                    score += [min(1.0, float(x)) for x in p[np.arange(len(mine)), best]]
-                    begin, size = i + 1, 0
+        for batch in (p for b in batches for p in parts(b, text)):
+            raw = [t.encode("utf-8", "replace") if t and any(map(str.isalpha, t)) else b"" for t in batch.column(text).to_pylist()]
+            p = gru.pooled(model, raw) if model else np.zeros((len(raw), 1))
+            best = p.argmax(axis=1)
+            said = [languages[c] if b and model else UNKNOWN for c, b in zip(best, raw, strict=True)]
+            score = np.minimum(1.0, p[np.arange(len(raw)), best])
             out = [batch.column(n) for n in names] + [pa.array(said, pa.string()), pa.array(score, pa.float64())]
             yield pa.RecordBatch.from_arrays(out, names=[*names, "lang_pred", "score"])
 

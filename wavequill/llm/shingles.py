@@ -14,11 +14,11 @@ U = np.uint64
 PART = 1 << 22
 
 
-def parts(batch):
-    """Slices of an Arrow batch with about PART bytes in its column text each."""
+def parts(batch, column: str = "text"):
+    """Slices of an Arrow batch with about PART bytes in its column of texts each."""
     import pyarrow.compute as pc
 
-    sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 64
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 64
     part = np.cumsum(sizes) // PART
     cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), batch.num_rows]
     for a, b in zip(cuts, cuts[1:], strict=False):
