@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import brute
 import duckdb
@@ -229,6 +230,20 @@ def test_hashes_of_words_that_add_up_alike():
     assert len(set(h[0].tolist())) == 3 and len(set(h[1].tolist())) == 1
 
 
+def test_keys_are_shared_across_parts(spark):
+    """A key counts as shared whether those that have it are in one part of the documents or in several."""
+    base, none = [f"b{i}" for i in range(80)], np.zeros(0, np.uint64)
+    rows = [(i, " ".join([*base[: i % 40], f"x{i}", *base[i % 40 :]])) for i in range(60)] + [(100 + i, " ".join(f"y{i}-{k}" for k in range(50))) for i in range(20)]
+    of = {i: keys_of(shingle_sets([t.encode()], 4), Bands(85), Hot(none))[0][0].tolist() for i, t in rows}
+    have = Counter(k for keys in of.values() for k in keys)
+    want = sorted((i, k) for i, keys in of.items() for k in keys if have[k] > 1)
+    assert len(want) < sum(map(len, of.values()))
+    for parts in (1, 9):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts, "doc_id")
+        got = near_duplicates._shared(near_duplicates._keyed(docs, 4, 85, none)).collect()
+        assert sorted((r["doc_id"], r["key"] % (1 << 64)) for r in got) == want
+
+
 def test_links_of_one_passage_in_many_documents(spark):
     """Unlike documents with one long passage: the rows that meet in keys stay in proportion to the documents."""
     passage, rng = " ".join(f"p{i}" for i in range(60)), random.Random(9)

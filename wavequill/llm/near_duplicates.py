@@ -69,7 +69,9 @@ def _measured(docs: DataFrame, size: int) -> DataFrame:
 
 
 def _keyed(docs: DataFrame, size: int, percent: int, hot: np.ndarray) -> DataFrame:
-    """doc_id, s1, s2, keys, needs for every row of docs: see keys_of()."""
+    """doc_id, s1, s2, keys, met, needs, told for every row of docs: see keys_of(). The first met of the keys are also those of
+    another class nearby, in the same part of a batch. A row with told for each part has these keys, once each, and no doc_id:
+    it tells others that have one of them, elsewhere, that they share it."""
     hashes = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches):
@@ -79,24 +81,60 @@ def _keyed(docs: DataFrame, size: int, percent: int, hot: np.ndarray) -> DataFra
         for batch in (p for b in batches for p in parts(b)):
             sets = shingle_sets(_raw(batch), size)
             mine, needs = keys_of(sets, bands, warm)
+            s1, s2 = signatures(sets)
+            classes = np.unique(np.stack([s1, s2], axis=1), axis=0, return_index=True)[1]
+            keys, seen = np.unique(np.concatenate([np.zeros(0, np.uint64), *[np.unique(mine[i]) for i in classes]]), return_counts=True)
+            near = keys[seen > 1]
+            is_near = [np.isin(k, near) for k in mine]
+            mine = [np.concatenate([k[m], k[~m]]) for k, m in zip(mine, is_near, strict=True)] + [near]
             ends = np.concatenate([[0], np.cumsum([len(k) for k in mine])]).astype(np.int32)
-            flat = _signed(np.concatenate([np.zeros(0, np.uint64), *mine]))
-            four = pa.ListArray.from_arrays(pa.array(np.arange(0, 4 * len(sets) + 1, 4, dtype=np.int32)), pa.array(needs.ravel(), pa.int16()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(_signed, signatures(sets)), pa.ListArray.from_arrays(pa.array(ends), flat), four], names=["doc_id", "s1", "s2", "keys", "needs"])
+            four = pa.ListArray.from_arrays(pa.array(np.arange(0, 4 * len(mine) + 1, 4, dtype=np.int32)), pa.array(np.append(needs, np.ones((1, 4), np.int16)).astype(np.int16), pa.int16()))
+            ids = pa.concat_arrays([batch.column("doc_id"), pa.nulls(1, batch.column("doc_id").type)])
+            met = pa.array([int(m.sum()) for m in is_near] + [0], pa.int32())
+            told = pa.array([False] * len(sets) + [True])
+            # The last row's signature is any, to spread those rows.
+            mark = near[:1] if len(near) else np.zeros(1, np.uint64)
+            yield pa.RecordBatch.from_arrays([ids, _signed(np.append(s1, mark)), _signed(np.append(s2, mark)), pa.ListArray.from_arrays(pa.array(ends), _signed(np.concatenate(mine))), met, four, told], names=["doc_id", "s1", "s2", "keys", "met", "needs", "told"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, s1 long, s2 long, keys array<long>, needs array<short>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, s1 long, s2 long, keys array<long>, met int, needs array<short>, told boolean")
+
+
+def _shared(rows: DataFrame) -> DataFrame:
+    """key, doc_id, need of the rows (doc_id, met, needs, told, keys) whose key another class has too.
+
+    What is met nearby needs no count, so it is spread by doc_id, and a key's rows that are counted in one task are one for
+    each part of the documents at most, however many have the key.
+    """
+    rows = rows.select("doc_id", "met", "needs", "told", F.posexplode("keys").alias("at", "key"))
+    rows = rows.select("key", "doc_id", "told", F.get("needs", F.col("key").bitwiseAND(F.lit(3)).cast("int")).alias("need"), (F.col("at") < F.col("met")).alias("near"))
+    rows = rows.withColumn("spread", F.when(F.col("near"), F.xxhash64("doc_id")).otherwise(F.lit(0).cast("long")))
+    rows = rows.withColumn("members", F.count("*").over(Window.partitionBy("key", "spread")))
+    return rows.where((F.col("near") | (F.col("members") > 1)) & ~F.col("told")).select("key", "doc_id", "need")
+
+
+def _with_members(rows: DataFrame) -> DataFrame:
+    """rows (a staged table) whose key others have too, with members and leader (the least doc_id) of it.
+
+    Counted with partial sums and joined back: a table of keys that is broadcast if it is small, and else one whose frequent
+    keys' partitions can be split, since both sides are staged.
+    """
+    of_key = stage(rows.groupBy("key").agg(F.count("*").alias("members"), F.min("doc_id").alias("leader")).where("members > 1"), "members")
+    return rows.join(small(of_key), "key")
 
 
 def _meeting(shared: DataFrame) -> DataFrame:
-    """key, doc_id, leader, members of shared (key, doc_id, need, members): what is left once classes that share fewer keys than
-    they need are gone, twice, and each of the others is without its most frequent keys, one less than it needs."""
-    of_key, of_doc = Window.partitionBy("key"), Window.partitionBy("doc_id", F.col("key").bitwiseAND(F.lit(3)))
+    """key, doc_id, leader, members of shared (key, doc_id, need): what is left once classes that share fewer keys than they
+    need are gone, twice, and each of the others is without its most frequent keys, one less than it needs."""
+    of_doc = Window.partitionBy("doc_id", F.col("key").bitwiseAND(F.lit(3)))
     rows = shared.withColumn("need", F.min("need").over(of_doc)).withColumn("has", F.count("*").over(of_doc)).where("has >= need")
-    rows = rows.withColumn("members", F.count("*").over(of_key)).where("members > 1")
-    rows = rows.withColumn("has", F.count("*").over(of_doc)).where("has >= need").withColumn("place", F.row_number().over(of_doc.orderBy("members", "key")))
-    rows = rows.where(F.col("place") <= F.col("has") - F.col("need") + 1).select("key", "doc_id")
-    return rows.withColumn("members", F.count("*").over(of_key)).withColumn("leader", F.min("doc_id").over(of_key)).where("members > 1")
+    first = stage(rows.select("key", "doc_id", "need"), "enough")
+    rows = _with_members(first).withColumn("has", F.count("*").over(of_doc)).where("has >= need").withColumn("place", F.row_number().over(of_doc.orderBy("members", "key")))
+    second = stage(rows.where(F.col("place") <= F.col("has") - F.col("need") + 1).select("key", "doc_id"), "rare")
+    unstage(first)
+    met = stage(_with_members(second), "met")
+    unstage(second)
+    return met
 
 
 def _with_sets(docs: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataFrame:
@@ -160,10 +198,10 @@ def _across(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     open_: key, doc_id, root. A key's members are dealt to blocks by hash, and two blocks meet in a row of their own.
     """
-    size = open_.groupBy("key").agg(F.ceil(F.count("*") / MEMBERS).alias("blocks"))
+    size = stage(open_.groupBy("key").agg(F.ceil(F.count("*") / MEMBERS).alias("blocks")), "blocks")
     block = F.pmod(F.xxhash64("doc_id"), F.col("blocks"))
     mine = F.when(F.col("key").bitwiseAND(F.lit(1)) == F.col("band") % 2, F.col("own")).otherwise(F.col("above"))
-    dealt = open_.join(size, "key").join(sets.select("doc_id", "n", "band", "own", "above"), "doc_id").select("key", block.alias("block"), F.struct("doc_id", "n", "root", mine.alias("sketch"), block.alias("block")).alias("m"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    dealt = open_.join(small(size), "key").join(sets.select("doc_id", "n", "band", "own", "above"), "doc_id").select("key", block.alias("block"), F.struct("doc_id", "n", "root", mine.alias("sketch"), block.alias("block")).alias("m"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
     cells = dealt.groupBy("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).agg(F.collect_list("m").alias("members"))
 
     def run(batches):
@@ -203,12 +241,11 @@ def link(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     n_copies = copies.count()
     of_class = lambda rows: rows.join(small(copies, n_copies), ["s1", "s2"], "left").withColumn("rep", F.coalesce("rep", "doc_id"))
     # A class has a row for each of its keys, so no key can hold more than a fraction of all rows.
-    rows = of_class(_keyed(docs, size, percent, hot).where(F.col("doc_id").isNotNull())).where("rep = doc_id").select("doc_id", "needs", F.explode("keys").alias("key"))
-    rows = rows.select("key", "doc_id", F.get("needs", F.col("key").bitwiseAND(F.lit(3)).cast("int")).alias("need"))
-    shared = shared_table = stage(rows.withColumn("members", F.count("*").over(Window.partitionBy("key"))).where("members > 1"), "shared")
+    keyed = of_class(_keyed(docs, size, percent, hot).where(F.col("doc_id").isNotNull() | F.col("told"))).where(F.col("told") | (F.col("rep") == F.col("doc_id")))
+    shared = shared_table = stage(_shared(keyed), "shared")
     if known.groupBy("doc_id").count().where("count > 1").limit(1).count():
-        shared = shared.groupBy("key", "doc_id").agg(F.min("need").alias("need"), F.max("members").alias("members"))
-    met = stage(_meeting(shared), "met")
+        shared = shared.groupBy("key", "doc_id").agg(F.min("need").alias("need"))
+    met = _meeting(shared)
     star = stage(met.where("doc_id <> leader").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct(), "star")
     nodes = stage(star.select(F.col("a").alias("doc_id")).unionByName(star.select(F.col("b").alias("doc_id"))).distinct(), "nodes")
     sets = _with_sets(docs, nodes, size, percent)
@@ -220,10 +257,10 @@ def link(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     member = F.xxhash64("doc_id")
     same_members = {"m1": F.count("*"), "m2": F.bit_xor(member), "m3": F.sum(F.hash(F.lit(1), member).cast("long")), "m4": F.sum(F.hash(F.lit(2), member).cast("long"))}
     of_keys = others.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), *[c.alias(n) for n, c in same_members.items()])
-    mixed = of_keys.where("x <> y").groupBy(*same_members).agg(F.min("key").alias("key")).select("key")
-    open_ = stage(others.join(mixed, "key", "left_semi"), "open")
+    mixed = stage(of_keys.where("x <> y").groupBy(*same_members).agg(F.min("key").alias("key")).select("key"), "mixed")
+    open_ = stage(others.join(small(mixed), "key", "left_semi"), "open")
     more = stage(_similar(stage(_across(open_, sets, percent), "across"), sets, percent), "links")
-    unstage(shared_table, met, open_, sets, star, nodes)
+    unstage(shared_table, met, mixed, open_, sets, star, nodes)
     if more.count():
         roots = stage(components(links.unionByName(more)), "roots")
     named = of_class(known).select(F.col("doc_id").alias("_doc"), "rep").join(roots, F.col("rep") == F.col("node"), "left")
