@@ -336,6 +336,29 @@ def test_inversion_of_rayleigh_waves(spark):
     assert len(s) == 6 and s[0, 0, 40.0] > 0.8 > s[0, 0, 2.0] and s[0, 1, 2.0] > s[0, 1, 40.0]
 
 
+def test_sensitivities_of_many_models(spark, rng):
+    """Thin, thick and sharply contrasted layers, all searched on the same grids, and models worked on together."""
+    f, rows, want = np.array([2.0, 8.0, 40.0]), [], {}
+    for m in range(60):
+        n = m % 5 + 1
+        h, vs = rng.uniform(1, 50, n), rng.uniform(100, [600, 60000, 9000][m % 3], n)
+        rows += [(m, i, float(h[i]), float(vs[i])) for i in range(n)]
+        for i in range(n):
+            up, down = (np.where(np.arange(n) == i, vs * (1 + e), vs) for e in (0.01, -0.01))
+            c = []
+            for v in (up, down):
+                value = lambda c, v=v: inversion._rayleigh_function(c[None], 2 * np.pi * f[:, None], h[None, :-1], v[None], 2 * vs[None])[0]
+                low, high = np.full(3, 0.7 * v.min()), np.full(3, v[-1] * 0.999999)
+                c.append(np.where(low < high, inversion._first_zero(value, *inversion._cells(value, low, high, 160)), np.nan))
+            want |= {(m, i, a): b for a, b in zip(f, (c[0] - c[1]) / (0.02 * vs[i]), strict=True)}
+    models = spark.createDataFrame(rows, "model int, layer int, h double, vs double")
+    got = inversion.sensitivity(models, f.tolist(), keys=("model",), wave="rayleigh")
+    found = {(r.model, r.layer, r.f): np.nan if r.s is None else r.s for r in got.collect()}
+    assert found.keys() == want.keys() and all(found[k] == pytest.approx(want[k], rel=1e-9, abs=1e-9, nan_ok=True) for k in want)
+    assert 0 < np.isfinite(list(want.values())).sum() < len(want)
+    assert "FlatMapGroupsInPandas" not in got._jdf.queryExecution().toString()
+
+
 def test_registered_inversion_and_sensitivity(spark, monkeypatch):
     """The search has the reference's size, and the kernels are of every model of the table."""
     asked = {}

@@ -109,11 +109,15 @@ def _rayleigh_function(c, w, h, vs, vp):
         """cosh, sinh / r and r sinh over layer i, by exp(-shift), and shift."""
         q = 1 - c2 / at(speed, i) ** 2
         r = np.maximum(np.sqrt(np.abs(q)), 1e-9)
-        x, down = k * r * at(h, i), q > 0
-        shift = np.where(down, x, 0)
-        e = np.exp(-2 * shift)
-        cos, sin = np.where(down, (1 + e) / 2, np.cos(x)), np.where(down, (1 - e) / 2, np.sin(x))
-        return cos, sin / r, np.where(down, r, -r) * sin, shift
+        x, up = k * r * at(h, i), q <= 0
+        e = np.exp(-2 * x)
+        cos, sin, shift = (1 + e) / 2, (1 - e) / 2, x
+        sin_r, r_sin = sin / r, r * sin
+        if up.any():
+            x_up, r_up = x[up], r[up]
+            sin = np.sin(x_up)
+            cos[up], sin_r[up], r_sin[up], shift[up] = np.cos(x_up), sin / r_up, -r_up * sin, 0
+        return cos, sin_r, r_sin, shift
 
     t = 2 - c2 / at(vs, 0) ** 2
     x1, x2, x3, x4, x5 = 2 * t, -t * t, np.zeros_like(t), np.zeros_like(t), np.full_like(t, -4)
@@ -131,23 +135,71 @@ def _rayleigh_function(c, w, h, vs, vp):
     return x2 + s * x3 - r * (x4 + s * x5)
 
 
+#: Radians of vertical phase in all layers, of both waves, below which no mode but the fundamental can be: standing waves need pi / 2.
+ONE_MODE = 0.5
+#: Product of the contrasts between layers, 2 (vs squared - the next's) / velocity squared, up to which rounding, which grows with
+#: its square, can't change the sign of the secular function but at a zero.
+EXACT = 1e5
+#: Curve points that are searched together, so that the arrays stay in a core's cache.
+TOGETHER = 16384
+
+
 def rayleigh_wave_velocity(h: np.ndarray, vs: np.ndarray, vp: np.ndarray, freqs: np.ndarray, points: int = 160) -> np.ndarray:
     """Fundamental-mode Rayleigh-wave phase velocities (models, frequencies) of layers of one density over a half-space; nan
-    where none is found below the half-space's vs. h: (models, layers); vs, vp: (models, layers and half-space)."""
+    where none is found below the half-space's vs. h: (models, layers); vs, vp: (models, layers and half-space).
+
+    The first change of sign on a grid of velocities, then on finer ones within. Where layers are too thin for a second mode
+    (ONE_MODE) and the function is exact (EXACT) the first grid has one change at most, and it is found by halving.
+    """
     h, vs, vp = (np.atleast_2d(np.asarray(x, float)) for x in (h, vs, vp))
-    w = 2 * np.pi * np.asarray(freqs, float)[:, None]
-    low = np.repeat(0.7 * vs.min(1)[:, None], len(w), 1)
-    high = np.repeat(vs[:, -1:] * 0.999999, len(w), 1)
-    missing = low >= high
-    for n in (points, 16, 16, 16):
-        c = low[..., None] + (high - low)[..., None] * np.linspace(0, 1, n + 1)
-        values = _rayleigh_function(c, w, h, vs, vp)
-        turns = np.signbit(values[..., 1:]) != np.signbit(values[..., :-1])
-        missing |= ~turns.any(-1)
-        j = turns.argmax(-1)[..., None]
-        low, high, a, b = (np.take_along_axis(x, i, -1)[..., 0] for x, i in ((c, j), (c, j + 1), (values, j), (values, j + 1)))
+    w = 2 * np.pi * np.asarray(freqs, float)
+    out = np.full((len(vs), len(w)), np.nan)
+    low, high = 0.7 * vs.min(1), vs[:, -1] * 0.999999
+    slow = lambda v: np.sqrt(np.maximum(1 / v[:, :-1] ** 2 - 1 / high[:, None] ** 2, 0))
     with np.errstate(divide="ignore", invalid="ignore"):
-        return np.where(missing, np.nan, np.where(a == b, low, low - a * (high - low) / (b - a)))
+        phase = (h * (slow(vs) + slow(vp))).sum(1)[:, None] * w
+        contrast = np.maximum(2 * np.abs(np.diff(vs**2)) / low[:, None] ** 2, 1).prod(1)
+        thin, there = (phase < ONE_MODE) & (contrast < EXACT)[:, None], (low < high)[:, None]
+        for halving, wanted in ((True, there & thin), (False, there & ~thin)):
+            at = np.nonzero(wanted)
+            step = max(1, TOGETHER // (16 if halving else points))
+            for k in range(0, len(at[0]), step):
+                m, f = at[0][k : k + step], at[1][k : k + step]
+                value = lambda c, m=m, f=f: _rayleigh_function(c[:, None], w[f][:, None, None], h[m], vs[m], vp[m])[:, 0]
+                first = (_cells_by_halving if halving else _cells)(value, low[m], high[m], points)
+                out[m, f] = _first_zero(value, *first)
+    return out
+
+
+def _cells(value, low, high, n):
+    """Of each row's grid of n cells from low to high the first in which value (velocities of each row -> the same shape) changes
+    its sign: low, high, the values there, and whether there is none."""
+    c = low[:, None] + (high - low)[:, None] * np.linspace(0, 1, n + 1)
+    values = value(c)
+    turns = np.signbit(values[:, 1:]) != np.signbit(values[:, :-1])
+    j = turns.argmax(1)[:, None]
+    return *(np.take_along_axis(x, i, 1)[:, 0] for x, i in ((c, j), (c, j + 1), (values, j), (values, j + 1))), ~turns.any(1)
+
+
+def _cells_by_halving(value, low, high, n):
+    """_cells() where value changes its sign once at most, from few of the grid's velocities."""
+    a, b = value(np.stack([low, high], 1)).T
+    missing = np.signbit(a) == np.signbit(b)
+    grid, wide, i, j = np.linspace(0, 1, n + 1), high - low, np.zeros(len(low), int), np.full(len(low), n)
+    for _ in range((n - 1).bit_length()):
+        mid = (i + j) // 2
+        found = value((low + wide * grid[mid])[:, None])[:, 0]
+        left = np.signbit(found) == np.signbit(a)
+        i, j, a, b = np.where(left, mid, i), np.where(left, j, mid), np.where(left, found, a), np.where(left, b, found)
+    return low + wide * grid[i], low + wide * grid[j], a, b, missing
+
+
+def _first_zero(value, low, high, a, b, missing):
+    """In cells as _cells() has them, by three grids, each in the cell before, and a line in the last."""
+    for _ in range(3):
+        low, high, a, b, none = _cells(value, low, high, 16)
+        missing = missing | none
+    return np.where(missing, np.nan, np.where(a == b, low, low - a * (high - low) / (b - a)))
 
 
 def _modelled(wave: str, h: np.ndarray, vs: np.ndarray, poisson: np.ndarray | None, f: np.ndarray) -> np.ndarray:
@@ -217,20 +269,35 @@ def invert(curves: DataFrame, bounds: list[tuple[float, ...]], runs: int = 2, pa
 
 def sensitivity(models: DataFrame, freqs: list[float], step: float = 0.01, keys=("station",), wave: str = "love") -> DataFrame:
     """keys, layer, f, s: how much the phase velocity changes with each layer's shear velocity, by finite differences. wave: love,
-    or rayleigh with a vp of twice vs, which is held."""
+    or rayleigh with a vp of twice vs, which is held. Models of as many layers are worked on together."""
     f = np.asarray(freqs, float)
 
-    def run(key, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("layer")
-        h, vs = frame["h"].to_numpy(float)[:-1], frame["vs"].to_numpy(float)
-        n = len(vs)
-        changed = np.concatenate([vs * (1 + step * np.eye(n)), vs * (1 - step * np.eye(n))])
+    def changes(h, vs):
+        """(models, layers, frequencies) from h, vs (models, layers)."""
+        count, n = vs.shape
+        factors = 1 + step * np.concatenate([np.eye(n), -np.eye(n)])
+        changed, many = (vs[:, None] * factors).reshape(-1, n), lambda x: np.repeat(x, 2 * n, 0)
         if wave == "rayleigh":
-            c = rayleigh_wave_velocity(np.tile(h, (2 * n, 1)), changed, np.tile(2 * vs, (2 * n, 1)), f)
+            c = rayleigh_wave_velocity(many(h[:, :-1]), changed, many(2 * vs), f)
         else:
-            c = _modelled(wave, np.tile(h, (2 * n, 1)), changed, None, f)
-        s = (c[:n] - c[n:]) / (2 * step * vs[:, None])
-        return pd.DataFrame({**{k: np.repeat(x, n * len(f)) for k, x in zip(keys, key, strict=True)}, "layer": np.repeat(np.arange(n), len(f)), "f": np.tile(f, n), "s": s.ravel()})
-
-    types = ", ".join(f"{k} {models.schema[k].dataType.simpleString()}" for k in keys)
-    return models.groupBy(*keys).applyInPandas(run, f"{types}, layer int, f double, s double")
+            c = _modelled(wave, many(h[:, :-1]), changed, None, f)
+        c = c.reshape(count, 2, n, len(f))
+        return (c[:, 0] - c[:, 1]) / (2 * step * vs[:, :, None])
+
+    @F.pandas_udf("array<double>")
+    def run(h: pd.Series, vs: pd.Series) -> pd.Series:
+        out, sizes = np.empty(len(h), object), h.map(len).to_numpy()
+        for n in np.unique(sizes):
+            at = np.flatnonzero(sizes == n)
+            cube = [np.array([np.asarray(x, float) for x in c.iloc[at]]) for c in (h, vs)]
+            for i, s in zip(at, changes(*cube).reshape(len(at), -1), strict=True):
+                out[i] = s
+        return pd.Series(out)
+
+    layers = F.array_sort(F.collect_list(F.struct(F.col("layer").isNull().alias("last"), F.col("layer").alias("layer"), F.col("h").cast("double").alias("h"), F.col("vs").cast("double").alias("vs"))))
+    # A model is little data and much work, so models are dealt out by number and not by size.
+    tasks = int(models.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    whole = models.repartition(tasks, *keys).groupBy(*keys).agg(layers.alias("m"))
+    flat = whole.select(*keys, run(F.col("m.h"), F.col("m.vs")).alias("s")).select(*keys, F.posexplode("s").alias("i", "s"))
+    f_of = F.get(F.array(*[F.lit(float(x)) for x in f]), F.col("i") % len(f))
+    return flat.select(*keys, F.floor(F.col("i") / len(f)).cast("int").alias("layer"), f_of.alias("f"), F.nanvl("s", F.lit(None).cast("double")).alias("s"))
