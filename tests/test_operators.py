@@ -442,6 +442,41 @@ def test_sensitivities_of_many_models(spark, rng):
     assert "FlatMapGroupsInPandas" not in got._jdf.queryExecution().toString()
 
 
+def test_stiff_layers_cut_in_two(rng):
+    """Whatever the contrast, layers cut in two, or given none of no thickness, have the same velocities."""
+    f, n = np.array([2.0, 4.0, 8.0]), 200
+    h, vs = rng.uniform(1, 50, (n, 4)), rng.uniform(900, 105000, (n, 5))
+    vs[:, -1] = rng.uniform(900, 20000, n)
+    c = inversion.rayleigh_wave_velocity(h, vs, 2 * vs, f)
+    cut = np.repeat(vs, 2, 1)[:, :-1]
+    assert 100 < np.isfinite(c).sum() < c.size
+    assert np.allclose(inversion.rayleigh_wave_velocity(np.repeat(h / 2, 2, 1), cut, 2 * cut, f), c, rtol=1e-11, atol=0, equal_nan=True)
+    more, none = np.insert(vs, 0, np.inf, 1), np.insert(h, 0, 0.0, 1)
+    assert np.allclose(inversion.rayleigh_wave_velocity(none, more, 2 * more, f), c, rtol=1e-12, atol=0, equal_nan=True)
+
+
+def test_work_of_a_curve_point(rng, monkeypatch):
+    """A velocity costs few evaluations, and the modes counted are those of the whole grid."""
+    seen, minors = [0], inversion._minors
+    monkeypatch.setattr(inversion, "_minors", lambda c, *x: seen.__setitem__(0, seen[0] + len(c)) or minors(c, *x))
+    f, n = np.array([2.0, 4.0, 8.0]), 500
+    h, vs = rng.uniform(1, 50, (n, 3)), rng.uniform(900, 105000, (n, 4))
+    c, slopes = inversion._rayleigh(h, vs, 2 * vs, f)
+    assert seen[0] < 20 * c.size
+    seen[0], changed = 0, vs * [1.01, 1, 1, 1]
+    again = inversion._rayleigh(h, changed, 2 * vs, f, near=(c, slopes))[0]
+    assert seen[0] < 12 * c.size
+    assert np.allclose(again, inversion.rayleigh_wave_velocity(h, changed, 2 * vs, f), rtol=1e-12, atol=0, equal_nan=True)
+    slow = rng.uniform(300, 3000, (n, 3))
+    vs = np.insert(slow, 3, rng.uniform(3000, 30000, n), 1)
+    h = rng.uniform(0.1, 0.9, (n, 3)) * slow / (2 * np.pi * f[2])
+    these = (np.full(n, 2 * np.pi * f[2]), h.T, 1 / vs.T**2, 1 / (2 * vs.T) ** 2)
+    one = inversion._one_mode(vs[:, -1] * 0.999999, *these)
+    grid = inversion._function_of(these)[0](0.7 * vs.min(1)[:, None] + (vs[:, -1] * 0.999999 - 0.7 * vs.min(1))[:, None] * np.linspace(0, 1, 641))
+    turns = (np.signbit(grid[:, 1:]) != np.signbit(grid[:, :-1])).sum(1)
+    assert n // 10 < one.sum() < n and (turns[one] <= 1).all() and (turns[~one] > 1).mean() > 0.9
+
+
 def test_registered_inversion_and_sensitivity(spark, monkeypatch):
     """The search has the reference's size, and the kernels are of every model of the table."""
     asked = {}
