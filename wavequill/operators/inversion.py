@@ -471,9 +471,10 @@ def sensitivity(models: DataFrame, freqs: list[float], step: float = 0.01, keys=
         order = np.argsort(sizes, kind="stable")
         widest = sizes.max(initial=0)
         cube = np.zeros((len(h), widest)), np.full((len(h), widest), np.inf)
-        for i, at in enumerate(order):
-            for x, c in zip(cube, (h, vs), strict=True):
-                x[i, widest - sizes[at] :] = c.iloc[at]
+        real = np.arange(widest) >= (widest - sizes[order])[:, None]
+        for x, c in zip(cube, (h.to_numpy(), vs.to_numpy()), strict=True):
+            if len(c):
+                x[real] = np.concatenate(c[order])
         if len(h):
             found = changes(*cube, widest - sizes[order])
             for at, s in zip(order, np.split(found, np.cumsum(sizes[order])[:-1]), strict=True):
